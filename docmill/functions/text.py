@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The words and endings of the Korean lexicon.
 STOPWORDS = (
@@ -49,7 +50,7 @@ INJECTIONS = (
 )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode's composed form; Spark has no function for it."""
     return text.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))

@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.text import compact, tokens
 
@@ -58,7 +59,7 @@ def metadata_matches(queries: DataFrame, query: str, text: str, targets: DataFra
     return best.select(F.col("q").alias(query), "field", "value", "m.confidence", "m.match_type")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def phrase_similarity(target: pd.Series, query: pd.Series) -> pd.Series:
     """Best matching-blocks ratio of a token list to the query's stretches of about as many tokens."""
 

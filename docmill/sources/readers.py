@@ -12,7 +12,7 @@ from ..functions.text import nfc, strip, unix_lines
 REQUIRED = ("공고 번호", "사업명", "발주 기관", "파일형식", "파일명", "텍스트")
 OPTIONAL = ("공고 차수", "사업 금액", "공개 일자", "입찰 참여 시작일", "입찰 참여 마감일", "사업 요약")
 SECTION = "struct<heading: string, text: string, section_path: array<string>, page_span: array<int>>"
-DOCUMENT = T._parse_datatype_string(f"doc_id string, title string, agency string, project string, metadata map<string,string>, sections array<{SECTION}>")
+DOCUMENT = f"doc_id string, title string, agency string, project string, metadata map<string,string>, sections array<{SECTION}>"
 CASE = "qid string, question_type string, target_doc_ids array<string>, question string, gold_answer string, must_include array<string>, should_abstain boolean, parent_qid string"
 
 
