@@ -76,19 +76,6 @@ def signatures(cps: np.ndarray, offsets: np.ndarray, positions: int, seed: int =
     return out
 
 
-def postings(signature: np.ndarray, table: np.ndarray, p: Plan) -> tuple[np.ndarray, np.ndarray]:
-    """[row, run]: key of the run's positions and bytes, and the CHECKED bytes that follow the run."""
-    rows = len(signature)
-    wide = signature.reshape(rows, p.runs, p.width).astype(np.uint64)
-    key = (table.astype(np.uint64)[:, None] << np.uint64(32)) + np.arange(p.runs, dtype=np.uint64)[None, :]
-    for i in range(p.width):
-        key = (key ^ wide[:, :, i]) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(29)
-    around = (np.arange(p.runs)[:, None] * p.width + p.width + np.arange(CHECKED)) % p.positions
-    check = np.ascontiguousarray(signature[:, around]).view(np.int64)[:, :, 0]
-    return key.view(np.int64), check
-
-
 class NearDuplicates(NamedTuple):
     """Links between the texts' classes, with each copy's class; both by (tbl, id), as numbered by `tables`."""
 
@@ -96,6 +83,9 @@ class NearDuplicates(NamedTuple):
     copies: DataFrame  # t, id, rep: rows whose form equals that of a row with a smaller id
     tables: list[str]
 
+    def name(self) -> F.Column:
+        return F.element_at(F.array(*map(F.lit, self.tables)), F.col("t") + 1)
+
 
 def _forms(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
     parts = [df.select(F.lit(k).alias("t"), F.col(key).cast("bigint").alias("id"), F.col(text).alias("form")) for k, (df, key, text) in enumerate(tables.values())]
@@ -109,9 +99,8 @@ def _forms(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
 
 
 def _same(a: str, b: str) -> F.Column:
-    """How many of eight bytes are equal."""
-    differ = F.col(a).bitwiseXOR(F.col(b))
-    return reduce(lambda x, y: x + y, [(F.shiftrightunsigned(differ, 8 * i).bitwiseAND(F.lit(255)) == 0).cast("int") for i in range(CHECKED)])
+    """How many of CHECKED bytes are equal."""
+    return reduce(lambda x, y: x + y, [(F.substring(a, i, 1) == F.substring(b, i, 1)).cast("int") for i in range(1, CHECKED + 1)])
 
 
 def _verify(threshold: float):
@@ -146,21 +135,29 @@ def near_duplicates(tables: dict[str, tuple[DataFrame, str, str]], threshold: fl
     one_each = base.join(_small(copies.select("t", "id")), ["t", "id"], "left_anti")
     p = plan(threshold, base.count())
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            forms, t = plain(batch.column(2)), batch.column(0).to_numpy(zero_copy_only=False)
+            forms = plain(batch.column(2))
             for lo, hi in slices(forms, CACHED):
                 signature = signatures(*to_codepoints(forms[lo:hi]), p.positions)
-                key, check = postings(signature, t[lo:hi], p)
-                lists = [pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * p.runs, pa.int32()), pa.array(x.ravel())) for x in (key, check)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], *lists], ["t", "id", "keys", "checks"])
-
-    rows = one_each.where(F.length("form") >= SHINGLE).select("t", "id", "form").mapInArrow(index, "t int, id bigint, keys array<bigint>, checks array<bigint>")
-    entries = rows.select("t", "id", F.posexplode("keys").alias("run", "key"), "checks").select("key", "t", "id", F.element_at("checks", F.col("run") + 1).alias("bytes"))
-    x = entries.select("key", F.col("t"), F.col("id").alias("a"), F.col("bytes").alias("bytes_a"))
+                # The first positions stand at the end again, where the last run looks for bytes to check.
+                row = np.ascontiguousarray(np.hstack([signature, signature[:, :CHECKED]]))
+                data = pa.Array.from_buffers(pa.binary(row.shape[1]), hi - lo, [None, pa.py_buffer(row.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], data], ["t", "id", "signature"])
+
+    # Written once: both sides of the join below read it, and share one shuffle.
+    signed = staged(one_each.where(F.length("form") >= SHINGLE).select("t", "id", "form").mapInArrow(sign, "t int, id bigint, signature binary"), "p2-signatures")
+    at = F.col("run") * p.width
+    entries = signed.select("t", "id", "signature", F.explode(F.sequence(F.lit(0), F.lit(p.runs - 1))).alias("run")).select(
+        F.xxhash64("t", "run", F.substring("signature", at + 1, F.lit(p.width))).alias("key"),
+        "t",
+        "id",
+        F.substring("signature", at + 1 + p.width, F.lit(CHECKED)).alias("bytes"),
+    )
+    x = entries.select("key", F.col("t").alias("s"), F.col("id").alias("a"), F.col("bytes").alias("bytes_a"))
     y = entries.select("key", F.col("t").alias("u"), F.col("id").alias("b"), F.col("bytes").alias("bytes_b"))
-    met = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("t") == F.col("u")) & (_same("bytes_a", "bytes_b") >= p.least))
-    pairs = staged(met.select("t", "a", "b").distinct(), "p2-pairs")
+    met = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("s") == F.col("u")) & (_same("bytes_a", "bytes_b") >= p.least))
+    pairs = staged(met.select(F.col("s").alias("t"), "a", "b").distinct(), "p2-pairs")
     ends = pairs.select("t", F.col("a").alias("id")).union(pairs.select("t", F.col("b").alias("id"))).distinct()
     forms = base.select("t", "id", "form").join(_small(ends), ["t", "id"], "left_semi")
     left = forms.select("t", F.col("id").alias("a"), F.col("form").alias("form_a"))
@@ -186,6 +183,5 @@ def all_pairs(found: NearDuplicates) -> DataFrame:
     within = copies.select("t", F.col("rep").alias("a"), F.col("id").alias("b"))
     c = copies.select("t", "rep", F.col("id").alias("b"))
     among = copies.select("t", "rep", F.col("id").alias("a")).join(c, ["t", "rep"]).where("a < b").select("t", "a", "b")
-    name = F.element_at(F.array(*map(F.lit, found.tables)), F.col("t") + 1)
     pairs = links.unionByName(within).unionByName(among)
-    return pairs.select(name.alias("tbl"), F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
+    return pairs.select(found.name().alias("tbl"), F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
