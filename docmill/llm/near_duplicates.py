@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from ..plans.staging import BROADCAST_ROWS, staged
 from .codepoints import counts_before, plain, slices, to_codepoints
 from .columns import rewritten, without_space
@@ -79,6 +80,7 @@ def signatures(cps: np.ndarray, offsets: np.ndarray, positions: int, seed: int =
 class NearDuplicates(NamedTuple):
     """Links between the texts' classes, with each copy's class; both by (tbl, id), as numbered by `tables`."""
 
+    rows: DataFrame  # t, id: every row with a text
     links: DataFrame  # t, a, b, similarity: representatives (smallest ids) of different texts; a < b
     copies: DataFrame  # t, id, rep: rows whose form equals that of a row with a smaller id
     tables: list[str]
@@ -164,7 +166,7 @@ def near_duplicates(tables: dict[str, tuple[DataFrame, str, str]], threshold: fl
     right = forms.select("t", F.col("id").alias("b"), F.col("form").alias("form_b"))
     both = pairs.join(left, ["t", "a"]).join(right, ["t", "b"]).select("t", "a", "b", "form_a", "form_b")
     links = both.mapInArrow(_verify(threshold), "t int, a bigint, b bigint, similarity double")
-    return NearDuplicates(links, copies, list(tables))
+    return NearDuplicates(slim.select("t", "id"), links, copies, list(tables))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -185,3 +187,20 @@ def all_pairs(found: NearDuplicates) -> DataFrame:
     among = copies.select("t", "rep", F.col("id").alias("a")).join(c, ["t", "rep"]).where("a < b").select("t", "a", "b")
     pairs = links.unionByName(within).unionByName(among)
     return pairs.select(found.name().alias("tbl"), F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
+
+
+def groups(found: NearDuplicates) -> DataFrame:
+    """(tbl, id, group_id, n_links): one row for each row with a text; the group's smallest id, and the links of its text.
+
+    Rows are in one group if links or equality lead from one to the other. Links count those of the row's class of equal texts.
+    """
+    links = staged(found.links.select("t", "a", "b"), "p2-links")
+    node = lambda c: F.struct("t", F.col(c).alias("id"))
+    same = found.copies.select(node("rep").alias("a"), node("id").alias("b"))
+    edges = links.select(node("a").alias("a"), node("b").alias("b")).union(same)
+    roots = components(edges, "a", "b").select("node.t", "node.id", F.col("root.id").alias("root"))
+    ends = links.select("t", F.col("a").alias("rep")).union(links.select("t", F.col("b").alias("rep")))
+    degree = ends.groupBy("t", "rep").agg(F.count("*").alias("n_links"))
+    rows = found.rows.join(roots, ["t", "id"], "left").join(found.copies, ["t", "id"], "left").withColumn("rep", F.coalesce("rep", "id"))
+    rows = rows.join(degree, ["t", "rep"], "left")
+    return rows.select(found.name().alias("tbl"), "id", F.coalesce("root", "id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .encode import encoded
-from .language import mislabelled_segments
+from .language import language_segments, mislabelled_segments
 from .leaks import leaked
-from .near_duplicates import all_pairs, near_duplicates
-from .same_text import same_print_pairs
+from .near_duplicates import NearDuplicates, all_pairs, groups, near_duplicates
+from .same_text import canonical_rows, same_print_pairs
 from .split import split_sections
 from .top_items import top_items
 
@@ -20,27 +20,36 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> dict[str, tuple[DataFrame, str, str]]:
+    return {
+        "rfp_sections": (_table(spark, sf_dir, "rfp_sections"), "section_uid", "text"),
+        "prompt_injection_ko": (_table(spark, sf_dir, "prompt_injection_ko"), "item_id", "text"),
+    }
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return same_print_pairs(
-        {
-            "rfp_sections": (_table(spark, sf_dir, "rfp_sections"), "section_uid", "text"),
-            "prompt_injection_ko": (_table(spark, sf_dir, "prompt_injection_ko"), "item_id", "text"),
-        }
-    )
+    return same_print_pairs(_texts(spark, sf_dir))
 
 
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tbl, id, text): every text in the one form."""
+    return canonical_rows(_texts(spark, sf_dir))
+
+
+def _near(spark: SparkSession, sf_dir: str) -> NearDuplicates:
     answer = _table(spark, sf_dir, "answer").where("embedding_idx is not null and text is not null")
     chunks = answer.groupBy("embedding_idx").agg(F.first("text").alias("text"))  # a chunk always has the same text
-    return all_pairs(
-        near_duplicates(
-            {
-                "rfp_sections": (_table(spark, sf_dir, "rfp_sections"), "section_uid", "text"),
-                "answer": (chunks, "embedding_idx", "text"),
-            },
-            threshold=0.7,
-        )
-    )
+    sections = _table(spark, sf_dir, "rfp_sections")
+    return near_duplicates({"rfp_sections": (sections, "section_uid", "text"), "answer": (chunks, "embedding_idx", "text")}, threshold=0.7)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_pairs(_near(spark, sf_dir))
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tbl, id, group_id, n_links): the group of nearly the same text that each row belongs to."""
+    return groups(_near(spark, sf_dir))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,8 +73,14 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mislabelled_segments(_table(spark, sf_dir, "documents"), "doc_id", "text", "lang", _table(spark, sf_dir, "lang_samples"))
 
 
+def p7_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, seg_no, lang, confidence, n_segments): all segments of all documents."""
+    docs, samples = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "lang_samples")
+    return language_segments(docs, "doc_id", "text", samples).withColumn("confidence", F.round("confidence", 4))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_ids, p6_found, p7_found)}
+    return {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_groups, p3_found, p4_found, p5_ids, p6_found, p7_found, p7_segments)}
 
 
 def oracle_sql() -> dict[str, str]:

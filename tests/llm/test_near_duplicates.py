@@ -5,7 +5,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from docmill.llm.columns import rewritten, without_space
-from docmill.llm.near_duplicates import CHECKED, MISS, all_pairs, near_duplicates, plan
+from docmill.llm.near_duplicates import CHECKED, MISS, all_pairs, groups, near_duplicates, plan
 from docmill.llm.queries import p2_found
 
 
@@ -70,3 +70,11 @@ def test_query_against_brute_force(spark, data):
     want = {("rfp_sections", *p) for p in brute(sections, 0.7)} | {("answer", *p) for p in brute(sorted(chunks.items()), 0.7)}
     assert got == want
     assert re.search("sections", str(want))
+
+
+def test_groups(spark):
+    base = "그룹에 드는 글은 서로 거의 같아야 하고 다른 글과는 달라야 한다 " * 4
+    rows = [(5, base), (3, base + "하나"), (9, base), (4, "전혀 다른 글이 여기에 홀로 있다"), (6, None), (7, " ")]
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    got = sorted((r.id, r.group_id, r.n_links) for r in groups(near_duplicates({"x": (df, "id", "text")}, 0.7)).collect())
+    assert got == [(3, 3, 1), (4, 4, 0), (5, 3, 1), (9, 3, 1)]
