@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import char_grams, collapsed, ends_mid_sentence
+from ..functions.text import char_grams, collapsed, ends_mid_sentence, jaccard
+from ..plans.staging import BROADCAST_ROWS
 
 NEAR_EMPTY = 50
 
@@ -30,17 +31,28 @@ def chunk_health(df: DataFrame, by: list[str], text: str, doc: str) -> DataFrame
 def contaminated(queries: DataFrame, query: str, text: str, held_out: DataFrame, held_text: str, threshold: float = 0.70) -> DataFrame:
     """(query, similarity): queries whose trigrams overlap with those of a held-out text by the threshold or more, at their best.
 
-    An inverted index of the held-out trigrams tallies what a pair shares; sizes give the overlap then, without any pair of
-    texts being compared. Texts that are equal but for case and white space count as 1, and so do blank ones.
+    Prefix filter: two sets that overlap so much share one of the rarest n - ceil(threshold n) + 1 of either, so only these meet
+    in a join, and only pairs that met are compared. Trigrams that no held-out text has are the rarest and lead nowhere. Texts
+    that are equal but for case and white space count as 1, and so do blank ones.
     """
     q = queries.select(F.col(query).alias("q"), F.coalesce(F.lower(collapsed(text)), F.lit("")).alias("t"))
     h = held_out.where(F.col(held_text).isNotNull()).select(F.lower(collapsed(held_text)).alias("t")).distinct()
     blank = q.where("t = ''").select("q", F.lit(1.0).alias("similarity"))
     same = q.join(h, "t").select("q", F.lit(1.0).alias("similarity"))
-    grams = lambda df, *keys: df.select(*keys, char_grams("t").alias("g"))
-    qg = grams(q, "q").select("q", F.size("g").alias("nq"), F.explode("g").alias("x"))
-    hg = grams(h, F.xxhash64("t").alias("h")).select("h", F.size("g").alias("nh"), F.explode("g").alias("x"))
-    shared = qg.join(hg, "x").groupBy("q", "nq", "h", "nh").agg(F.count("*").alias("n"))
-    near = shared.select("q", (F.col("n") / (F.col("nq") + F.col("nh") - F.col("n"))).alias("similarity")).where(F.col("similarity") >= threshold)
+    ours = q.where("t != ''").select("q", char_grams("t").alias("g")).where(F.size("g") > 0)
+    theirs = h.select(F.xxhash64("t").alias("h"), char_grams("t").alias("g")).where(F.size("g") > 0)
+    held = theirs.select(F.explode("g").alias("x")).groupBy("x").agg(F.count("*").alias("n"))
+    held = F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
+
+    def rarest(df: DataFrame, key: str) -> DataFrame:
+        grams = df.select(key, F.size("g").alias("size"), F.explode("g").alias("x")).join(held, "x", "left")
+        order = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "x")))
+        lists = grams.groupBy(key, "size").agg(order.alias("o"))
+        prefix = F.slice("o", 1, (F.col("size") - F.ceil(threshold * F.col("size") - 1e-9) + 1).cast("int"))
+        return lists.select(key, F.explode(F.filter(prefix, lambda s: s["n"] > 0)).alias("s")).select(key, F.col("s.x").alias("x"))
+
+    met = rarest(ours, "q").join(rarest(theirs, "h"), "x").select("q", "h").distinct()
+    both = met.join(ours, "q").join(theirs.withColumnRenamed("g", "g2"), "h")
+    near = both.select("q", jaccard("g", "g2").alias("similarity")).where(F.col("similarity") >= threshold)
     every = blank.unionAll(same).unionAll(near)
     return every.groupBy(F.col("q").alias(query)).agg(F.round(F.max("similarity"), 6).alias("similarity"))

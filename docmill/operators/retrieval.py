@@ -142,7 +142,7 @@ def hard_negatives(ranked: DataFrame, query: str, doc: str, own_doc: str, first:
     """n rows a query from the given ranks, of other documents than its own; drawn by a hash, alike on any run."""
     pool = ranked.where(F.col("rank").between(first, last) & (F.col(doc) != F.col(own_doc)))
     draw = unit_hash(F.concat_ws("|", F.col(query).cast("string"), F.col(doc).cast("string")))
-    place = F.row_number().over(Window.partitionBy(query).orderBy(draw, doc))
+    place = F.row_number().over(Window.partitionBy(query).orderBy(draw, doc, "rank"))
     return pool.withColumn("draw", place).where(F.col("draw") <= n)
 
 

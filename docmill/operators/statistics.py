@@ -20,6 +20,11 @@ def distribution(x: str, places: int = 6) -> list[Column]:
     return [F.count(value).alias("n"), F.round(F.avg(value), places).alias("mean"), *cuts]
 
 
+def nearest_rank(x: str, share: float) -> Column:
+    """The smallest value that at least this share of the values does not exceed; no interpolation."""
+    return F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY `{x}`)")
+
+
 def sliced(df: DataFrame, slices: list[str], metrics: list[Column]) -> DataFrame:
     """Metrics over all rows and by each single column of `slices`, in one pass: (slice, value, metrics...)."""
     sets = df.groupingSets([[], *([F.col(s)] for s in slices)], *map(F.col, slices))
@@ -28,9 +33,7 @@ def sliced(df: DataFrame, slices: list[str], metrics: list[Column]) -> DataFrame
     for s in slices:
         which = F.when(F.grouping(s) == 0, F.lit(s)).otherwise(which)
         value = F.when(F.grouping(s) == 0, F.col(s).cast("string")).otherwise(value)
-    names = [f"_m{i}" for i in range(len(metrics))]
-    out = sets.agg(which.alias("slice"), value.alias("value"), *metrics)
-    return out.drop(*slices) if names else out
+    return sets.agg(which.alias("slice"), value.alias("value"), *metrics).drop(*slices)
 
 
 def by_labels(df: DataFrame, labels: str, metrics: list[Column]) -> DataFrame:

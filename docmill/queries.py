@@ -493,6 +493,104 @@ def quality_contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.contaminated(_t(spark, sf_dir, "prompt_injection_ko"), "item_id", "text", _t(spark, sf_dir, "eval_items"), "text")
 
 
+@_query(
+    f"""WITH h AS ({_HITS}), r AS (SELECT query_id, chunk_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, chunk_id) AS rank, first_value(doc_id) OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, chunk_id) AS own FROM h WHERE doc_id IS NOT NULL),
+    p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ('0x' || substr(sha256(query_id || '|' || chunk_id), 1, 8))::BIGINT, chunk_id)::INT AS draw FROM r WHERE rank BETWEEN 3 AND 20 AND doc_id <> own)
+    SELECT query_id, chunk_id, draw FROM p WHERE draw <= 3"""
+)
+def search_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three chunks a query from ranks 3 to 20 that are of another document than the best one."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc_nulls_last(), "chunk_id")
+    hits = _hits(spark, sf_dir).where("doc_id is not null").withColumn("rank", F.row_number().over(w)).withColumn("own", F.first("doc_id").over(w))
+    pool = hits.where(F.col("doc_id") != F.col("own")).drop("own").withColumn("own", F.lit(""))
+    return retrieval.hard_negatives(pool, "query_id", "chunk_id", "own", 3, 20, 3).select("query_id", "chunk_id", "draw")
+
+
+@_query(
+    f"""WITH h AS ({_HITS}), b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, chunk_id) AS n FROM h)
+    SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY n <= 5 DESC, CASE WHEN n <= 5 THEN early END DESC NULLS LAST, n)::INT AS rank FROM b"""
+)
+def search_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best chunks of each query in the order of their section, the others after them."""
+    return ranking.reranked(_hits(spark, sf_dir), ["query_id"], "score", "chunk_id", F.col("early"), 5).select("query_id", "chunk_id", "rank")
+
+
+@_query(f"SELECT DISTINCT field, value, {_COMPACT.format('value')} AS compact FROM (SELECT 'agency' AS field, agency AS value FROM rfp_documents UNION ALL SELECT 'project', project FROM rfp_documents) WHERE {_COMPACT.format('value')} <> ''")
+def match_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.metadata_targets(_t(spark, sf_dir, "rfp_documents")).select("field", "value", "compact")
+
+
+_GRAMS = "list_distinct(list_transform(range(1, greatest(length({0}) - 1, 1)), lambda i: substr({0}, i, 3)))"
+
+
+@_query(
+    f"""WITH b AS (SELECT doc_row_id, lower(regexp_replace(title, '{_SPACE}+', '', 'g')) AS a, lower(regexp_replace(project, '{_SPACE}+', '', 'g')) AS b FROM rfp_documents WHERE title IS NOT NULL AND project IS NOT NULL),
+    g AS (SELECT doc_row_id, CASE WHEN length(a) >= 3 THEN {_GRAMS.format('a')} ELSE [] END AS x, CASE WHEN length(b) >= 3 THEN {_GRAMS.format('b')} ELSE [] END AS y FROM b)
+    SELECT doc_row_id, round(coalesce(len(list_intersect(x, y)) / nullif(len(list_distinct(list_concat(x, y))), 0)::DOUBLE, 0), 6) AS overlap FROM g"""
+)
+def match_title_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trigrams that title and project share."""
+    df = _t(spark, sf_dir, "rfp_documents").where("title is not null and project is not null")
+    return df.select("doc_row_id", F.round(text.jaccard(text.char_grams("title"), text.char_grams("project")), 6).alias("overlap"))
+
+
+@_query(
+    """WITH s AS (SELECT doc_id, section_no, max(page_span[1]) AS a, max(page_span[2]) AS b FROM rfp_sections WHERE len(page_span) = 2 GROUP BY 1, 2)
+    SELECT x.doc_id, x.section_no, round(greatest(0, least(x.b, y.b) - greatest(x.a, y.a) + 1) / ((x.b - x.a + 1) + (y.b - y.a + 1) - greatest(0, least(x.b, y.b) - greatest(x.a, y.a) + 1))::DOUBLE, 6) AS iou FROM s x JOIN s y ON x.doc_id = y.doc_id AND y.section_no = x.section_no + 1"""
+)
+def layout_page_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that neighbouring sections share."""
+    span = F.array(F.max(F.col("page_span")[0]), F.max(F.col("page_span")[1])).alias("span")
+    s = _t(spark, sf_dir, "rfp_sections").where("size(page_span) = 2").groupBy("doc_id", "section_no").agg(span)
+    nxt = s.select("doc_id", (F.col("section_no") - 1).alias("section_no"), F.col("span").alias("next_span"))
+    return s.join(nxt, ["doc_id", "section_no"]).select("doc_id", "section_no", F.round(numbers.span_iou(F.col("span"), F.col("next_span")), 6).alias("iou"))
+
+
+@_query(
+    f"""SELECT section_uid, count(*) AS n_lines, count(*) FILTER (WHERE {_sql_strip('l')} = '') AS n_blank FROM (SELECT section_uid, unnest(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) AS l FROM rfp_sections WHERE text IS NOT NULL) GROUP BY 1"""
+)
+def layout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = layout.lines(_t(spark, sf_dir, "rfp_sections"), "section_uid", "text")
+    return rows.groupBy("section_uid").agg(F.count("*").alias("n_lines"), F.count_if(text.strip("line") == "").alias("n_blank"))
+
+
+@_query(
+    f"""SELECT run_name, CASE WHEN held = 0 AND coalesce(len(wanted), 0) = 0 THEN 'correct_refusal' WHEN held = 0 THEN 'boundary_partial' ELSE 'incorrect_answer' END AS outcome, count(*) AS n FROM ({_CASES}) WHERE coalesce(best, 0) < 0.5 GROUP BY 1, 2"""
+)
+def eval_abstention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of the cases whose best evidence is weak."""
+    weak = _cases(spark, sf_dir).where(F.coalesce(F.col("best"), F.lit(0.0)) < 0.5)
+    outcome = evaluation.abstention_outcome(F.col("held") == 0, F.size("wanted") > 0)
+    return weak.groupBy("run_name", outcome.alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@_query(
+    """WITH r AS (SELECT run_name, avg(score) AS m FROM answer WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY 1)
+    SELECT a.run_name, round((a.m - b.m) / (1 - b.m), 6) AS gauge FROM r a, r b WHERE b.run_name = 'naive_baseline'"""
+)
+def eval_gauge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each run's mean score lies between the baseline's and 1."""
+    means = _t(spark, sf_dir, "answer").where("score is not null and not isnan(score)").groupBy("run_name").agg(F.avg("score").alias("m"))
+    floor = means.where("run_name = 'naive_baseline'").select(F.col("m").alias("floor"))
+    return means.crossJoin(F.broadcast(floor)).select("run_name", F.round(evaluation.gauge(F.col("m"), F.col("floor")), 6).alias("gauge"))  # one row of floor
+
+
+@_query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1")
+def eval_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "events").groupBy("event_type").agg(statistics.nearest_rank("value", 0.5).alias("p50"), statistics.nearest_rank("value", 0.95).alias("p95"))
+
+
+@_query(
+    """WITH d AS (SELECT lower(chunking_strategy) AS strategy, doc_id, count(DISTINCT chunk_id) AS n FROM answer GROUP BY 1, 2)
+    SELECT strategy, count(*) AS documents, round(avg(n), 6) AS mean_chunks, max(n) AS most_chunks, quantile_cont(n, 0.5) AS p50 FROM d GROUP BY 1"""
+)
+def quality_chunks_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per = _t(spark, sf_dir, "answer").groupBy(F.lower("chunking_strategy").alias("strategy"), "doc_id").agg(F.count_distinct("chunk_id").alias("n"))
+    return per.groupBy("strategy").agg(F.count("*").alias("documents"), F.round(F.avg("n"), 6).alias("mean_chunks"), F.max("n").alias("most_chunks"), F.percentile("n", F.lit(0.5)).alias("p50"))
+
+
 # ---------------------------------------------------------------- order and state
 
 

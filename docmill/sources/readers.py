@@ -27,7 +27,7 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     text go. Text: the title is the first line that isn't blank without its #, the body one section. Files without text go.
     """
     files = (
-        spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(folder)
+        spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True)
         .select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("source_path"))
     )
     name = F.regexp_extract("source_path", "([^/]+)$", 1)
@@ -88,7 +88,7 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
 
 def read_history(spark: SparkSession, glob: str) -> DataFrame:
     """(snapshot, metric, value): numbers of all snapshot files, which are ordered by name."""
-    rows = spark.read.option("multiLine", "true").option("wholetext", "true").text(glob).select(_stem(F.col("_metadata.file_path")).alias("snapshot"), F.from_json("value", "map<string,string>").alias("m"))
+    rows = spark.read.text(glob, wholetext=True).select(_stem(F.col("_metadata.file_path")).alias("snapshot"), F.from_json("value", "map<string,string>").alias("m"))
     long = rows.select("snapshot", F.explode("m").alias("metric", "raw")).withColumn("value", F.col("raw").try_cast("double"))
     return long.where("value is not null").select("snapshot", "metric", "value")
 

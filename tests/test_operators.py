@@ -222,3 +222,18 @@ def test_plans():
     assert stages(frozenset("a"), frozenset("ab")) == ("strict", "reduced", "relaxed")
     assert stages(frozenset("a"), frozenset("a")) == ("strict", "relaxed")
     assert stages(frozenset(), frozenset()) == ("relaxed",)
+
+
+def test_contaminated_against_brute_force(spark):
+    rng = random.Random(9)
+    held = ["".join(rng.choices("가나다라", k=30)) for _ in range(15)]
+    asked = []
+    for i in range(150):
+        x = list(rng.choice(held))
+        for _ in range(rng.randrange(0, 5)):
+            x[rng.randrange(len(x))] = rng.choice("가나다라마")
+        asked.append((i, "".join(x)))
+    grams = lambda x: {x[k : k + 3] for k in range(len(x) - 2)}
+    best = {i: max(len(grams(x) & grams(h)) / len(grams(x) | grams(h)) for h in held) for i, x in asked}
+    got = quality.contaminated(spark.createDataFrame(asked, "q int, t string"), "q", "t", spark.createDataFrame([(h,) for h in held], "t string"), "t")
+    assert {r.q: r.similarity for r in got.collect()} == {i: round(s, 6) for i, s in best.items() if s >= 0.7}
