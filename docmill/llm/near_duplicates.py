@@ -106,18 +106,20 @@ def _same(a: str, b: str) -> F.Column:
 
 
 def _verify(threshold: float):
+    def sets(column: pa.Array) -> list[np.ndarray]:
+        cps, offsets = to_codepoints(plain(column))
+        h = hashes(cps, SHINGLE)
+        return [np.unique(h[a : max(b - SHINGLE + 1, a)]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = []
-            for column in (batch.column(3), batch.column(4)):
-                cps, offsets = to_codepoints(plain(column))
-                h = hashes(cps, SHINGLE)
-                sets.append([np.unique(h[a : max(b - SHINGLE + 1, a)]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
-            both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sets, strict=True)], float)
-            union = np.array([len(x) + len(y) for x, y in zip(*sets, strict=True)]) - both
-            similarity = both / np.maximum(union, 1)
-            out = pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(similarity)], ["t", "a", "b", "similarity"])
-            yield out.filter(pa.array(both >= threshold * union - 1e-9) if len(both) else pa.array([], pa.bool_()))
+            for lo, hi in slices(plain(batch.column(3)), CACHED):
+                part = batch.slice(lo, hi - lo)
+                ours, theirs = sets(part.column(3)), sets(part.column(4))
+                both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(ours, theirs, strict=True)], float)
+                union = np.array([len(x) + len(y) for x, y in zip(ours, theirs, strict=True)]) - both
+                out = pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(both / np.maximum(union, 1))], ["t", "a", "b", "similarity"])
+                yield out.filter(pa.array(both >= threshold * union - 1e-9))
 
     return verify
 
