@@ -129,12 +129,13 @@ def near_duplicates(tables: dict[str, tuple[DataFrame, str, str]], threshold: fl
 
     Texts count in the form of problem 1 without white space; similarity is the share of common stretches of five characters
     among all of both. Null ids, null and blank texts do not count. Texts of under five characters have no stretch and are only
-    equal or not. An id that repeats should hold one text; with several, each row stands for itself.
+    equal or not. Rows that
+    repeat an id and its text count once; an id with several texts has the links of all of them.
     """
     base = staged(_forms(tables), "p2-forms")
     slim = base.select("t", "id", "digest")
     several = slim.groupBy("t", "digest").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
-    copies = slim.join(several, ["t", "digest"]).where("id != rep").select("t", "id", "rep")
+    copies = slim.join(several, ["t", "digest"]).where("id != rep").select("t", "id", "rep").distinct()
     copies = staged(copies, "p2-copies")
     one_each = base.join(_small(copies.select("t", "id")), ["t", "id"], "left_anti")
     p = plan(threshold, base.count())
@@ -167,7 +168,8 @@ def near_duplicates(tables: dict[str, tuple[DataFrame, str, str]], threshold: fl
     left = forms.select("t", F.col("id").alias("a"), F.col("form").alias("form_a"))
     right = forms.select("t", F.col("id").alias("b"), F.col("form").alias("form_b"))
     both = pairs.join(left, ["t", "a"]).join(right, ["t", "b"]).select("t", "a", "b", "form_a", "form_b")
-    links = both.mapInArrow(_verify(threshold), "t int, a bigint, b bigint, similarity double")
+    verified = both.mapInArrow(_verify(threshold), "t int, a bigint, b bigint, similarity double")
+    links = verified.groupBy("t", "a", "b").agg(F.max("similarity").alias("similarity"))
     return NearDuplicates(slim.select("t", "id"), links, copies, list(tables))
 
 

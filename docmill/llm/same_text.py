@@ -30,7 +30,7 @@ def canonical_rows(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
 def same_print_pairs(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
     """(tbl, id_a, id_b): pairs of rows of one table whose stored texts differ and print alike; id_a < id_b.
 
-    Null and blank texts have no pairs; nor have exact copies of each other, of which each pairs with every other spelling.
+    A pair comes once, however often its rows repeat. Null and blank texts have no pairs; nor have exact copies of each other, of which each pairs with every other spelling.
     Spellings are paired before rows are: a text that a third of all rows hold in one spelling costs one row per copy.
     """
     parts = [
@@ -58,4 +58,5 @@ def same_print_pairs(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame
         .join(two, ["tbl", "stored_b"])
         .where("x != y")
         .select("tbl", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+        .distinct()
     )

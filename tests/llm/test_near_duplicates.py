@@ -78,3 +78,9 @@ def test_groups(spark):
     df = spark.createDataFrame(rows, "id bigint, text string")
     got = sorted((r.id, r.group_id, r.n_links) for r in groups(near_duplicates({"x": (df, "id", "text")}, 0.7)).collect())
     assert got == [(3, 3, 1), (4, 4, 0), (5, 3, 1), (9, 3, 1)]
+
+
+def test_repeated_rows(spark):
+    a = "같은 행이 두 번 들어와도 한 번만 나와야 하는 글이다 " * 3
+    rows = [(1, a), (1, a), (2, a), (2, a), (3, a + "끝"), (3, a + "끝")]
+    assert found(spark, rows, 0.7) == {(1, 2), (1, 3), (2, 3)}

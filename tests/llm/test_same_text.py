@@ -34,3 +34,8 @@ def test_query(spark, data):
     df = p1_found(spark, data)
     assert df.dtypes == [("tbl", "string"), ("id_a", "bigint"), ("id_b", "bigint")]
     assert all(r.id_a < r.id_b for r in df.collect())
+
+
+def test_repeated_rows(spark):
+    rows = table(spark, [(1, "가"), (1, "가"), (2, unicodedata.normalize("NFD", "가")), (2, unicodedata.normalize("NFD", "가"))])
+    assert [tuple(r) for r in same_print_pairs({"t": (rows, "id", "text")}).collect()] == [("t", 1, 2)]
