@@ -83,8 +83,7 @@ def stemmed(token: Column) -> Column:
 def tokens(text: str | Column, stopwords: tuple[str, ...] | list[str] = STOPWORDS) -> Column:
     """Stemmed tokens without stop words, in order; null for null."""
     words = F.transform(F.regexp_extract_all(_c(text), F.lit(TOKEN), F.lit(0)), stemmed)
-    stop = F.array(*map(F.lit, stopwords))
-    return F.filter(words, lambda t: (t != "") & ~F.array_contains(stop, t))
+    return F.filter(words, lambda t: ~t.isin("", *stopwords))
 
 
 def sentences(text: str | Column) -> Column:

@@ -6,18 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import char_grams, collapsed, ends_mid_sentence, jaccard
-from ..plans.staging import BROADCAST_ROWS
+from ..plans.staging import BROADCAST_ROWS, staged
 
 NEAR_EMPTY = 50
 
 
 def chunk_health(df: DataFrame, by: list[str], text: str, doc: str) -> DataFrame:
     """(by..., chunks, documents, length percentiles, empty and near-empty counts, share of cut sentences)."""
+    # Numbers first: the distinct count doubles the rows, which should not hold texts then.
     length = F.coalesce(F.length(text), F.lit(0))
-    cut = F.avg(F.when(length > 0, ends_mid_sentence(text).cast("double")))
-    return df.groupBy(*by).agg(
+    cut = F.when(length > 0, ends_mid_sentence(text).cast("double"))
+    rows = df.select(*by, F.col(doc).alias("_doc"), length.alias("_length"), cut.alias("_cut"))
+    length, cut = F.col("_length"), F.avg("_cut")
+    return rows.groupBy(*by).agg(
         F.count("*").alias("chunks"),
-        F.count_distinct(doc).alias("documents"),
+        F.count_distinct("_doc").alias("documents"),
         F.percentile(length, F.lit(0.5)).alias("p50"),
         F.percentile(length, F.lit(0.95)).alias("p95"),
         F.max(length).alias("longest"),
@@ -39,7 +42,7 @@ def contaminated(queries: DataFrame, query: str, text: str, held_out: DataFrame,
     h = held_out.where(F.col(held_text).isNotNull()).select(F.lower(collapsed(held_text)).alias("t")).distinct()
     blank = q.where("t = ''").select("q", F.lit(1.0).alias("similarity"))
     same = q.join(h, "t").select("q", F.lit(1.0).alias("similarity"))
-    ours = q.where("t != ''").select("q", char_grams("t").alias("g")).where(F.size("g") > 0)
+    ours = staged(q.where("t != ''").select("q", char_grams("t").alias("g")), "query-grams").where(F.size("g") > 0)
     theirs = h.select(F.xxhash64("t").alias("h"), char_grams("t").alias("g")).where(F.size("g") > 0)
     held = theirs.select(F.explode("g").alias("x")).groupBy("x").agg(F.count("*").alias("n"))
     held = F.broadcast(held) if held.count() <= BROADCAST_ROWS else held

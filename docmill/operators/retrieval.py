@@ -28,7 +28,9 @@ def bm25(docs: DataFrame, doc: str, doc_tokens: str, queries: DataFrame, query:
     terms = queries.select(F.col(query), F.explode(F.array_distinct(query_tokens)).alias("term"))
     asked = terms.select("term").distinct()
     few = asked.count() <= BROADCAST_ROWS
-    sizes = docs.select(F.col(doc).alias("doc"), F.coalesce(F.size(doc_tokens), F.lit(0)).alias("n"), F.col(doc_tokens).alias("tokens"))
+    # Tokens are made once, and read for the sizes and for the terms.
+    sizes = staged(docs.select(F.col(doc).alias("doc"), F.col(doc_tokens).alias("tokens")), "bm25-tokens")
+    sizes = sizes.withColumn("n", F.coalesce(F.size("tokens"), F.lit(0)))
     corpus = sizes.agg(F.count("*").alias("docs"), F.avg("n").alias("avg_n"))
     said = sizes.select("doc", "n", F.explode("tokens").alias("term")).join(F.broadcast(asked) if few else asked, "term", "left_semi")
     tf = said.groupBy("doc", "n", "term").agg(F.count("*").alias("tf"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import numbers, text, vectors
 from .operators import dialogue, evaluation, ingest, layout, matching, quality, ranking, retrieval, statistics
+from .plans.staging import spread
 from .streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,7 +50,7 @@ def _sql_strip(column: str) -> str:
 
 @_query(f"SELECT section_uid, len(t)::INT AS n_tokens, array_to_string(t, ' ') AS tokens FROM (SELECT section_uid, {_sql_tokens('text')} AS t FROM rfp_sections WHERE text IS NOT NULL)")
 def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _t(spark, sf_dir, "rfp_sections").where("text is not null").select("section_uid", text.tokens("text").alias("t"))
+    df = spread(_t(spark, sf_dir, "rfp_sections").select("section_uid", "text")).where("text is not null").select("section_uid", text.tokens("text").alias("t"))
     return df.select("section_uid", F.size("t").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
 
 
@@ -180,7 +181,7 @@ _QUERIED = "SELECT item_id, text FROM prompt_injection_ko WHERE item_id % 100 =
     SELECT item_id, section_uid, score FROM r WHERE rank <= 10"""
 )
 def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _t(spark, sf_dir, "rfp_sections").select("section_uid", text.tokens("text").alias("tokens"))
+    docs = spread(_t(spark, sf_dir, "rfp_sections").select("section_uid", "text")).select("section_uid", text.tokens("text").alias("tokens"))
     asked = _t(spark, sf_dir, "prompt_injection_ko").where("item_id % 100 = 0").select("item_id", text.tokens("text").alias("asked"))
     return retrieval.bm25(docs, "section_uid", "tokens", asked, "item_id", "asked", 10).select("item_id", "section_uid", "score")
 
@@ -483,14 +484,15 @@ def eval_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
         round(avg(CASE WHEN length(text) > 0 THEN (b <> '' AND NOT regexp_matches(b, '[.!?。…다음임함됨요]$'))::INT::DOUBLE END), 6) AS mid_sentence_share FROM e GROUP BY 1"""
 )
 def quality_chunk_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _t(spark, sf_dir, "answer").withColumn("strategy", F.lower("chunking_strategy"))
+    df = spread(_t(spark, sf_dir, "answer").select("chunking_strategy", "text", "doc_id")).withColumn("strategy", F.lower("chunking_strategy"))
     return quality.chunk_health(df, ["strategy"], "text", "doc_id")
 
 
 @_query()
 def quality_contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Screened queries that overlap with held-out items."""
-    return quality.contaminated(_t(spark, sf_dir, "prompt_injection_ko"), "item_id", "text", _t(spark, sf_dir, "eval_items"), "text")
+    asked = spread(_t(spark, sf_dir, "prompt_injection_ko").select("item_id", "text"))
+    return quality.contaminated(asked, "item_id", "text", _t(spark, sf_dir, "eval_items"), "text")
 
 
 @_query(
