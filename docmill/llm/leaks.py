@@ -39,7 +39,9 @@ def hashes(cps: np.ndarray, k: int) -> np.ndarray:
 def winnowed(cps: np.ndarray, offsets: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Each row's kept hashes, and the rows' offsets among them; rows shorter than k + window - 1 have none."""
     h = hashes(cps, k)
-    n = max(len(h) - window + 1, 0)
+    if len(h) < window:
+        return h[:0], np.zeros(len(offsets), np.int64)
+    n = len(h) - window + 1
     least, width = h, 1
     while width < window:
         step = min(width, window - width)

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from docmill.llm.columns import reduced, rewritten
-from docmill.llm.leaks import K, RUN, leaked, longest_run, winnowed
+from docmill.llm.leaks import K, RUN, hashes, leaked, longest_run, winnowed
 from docmill.llm.queries import p6_found
 
 
@@ -33,6 +33,24 @@ def test_every_shared_run_is_kept():
         assert longest_run(points(a), points(b), K, RUN) == RUN
 
 
+def test_single_texts_of_all_short_lengths():
+    rng, window = random.Random(4), RUN - K + 1
+    for n in range(61):
+        x = points("".join(rng.choices("abcdefgh가나다", k=n)))
+        h = hashes(x, K)
+        least = {min(h[i : i + window].tolist()) for i in range(n - RUN + 1)}
+        for offsets in ([0, n], [0, 0, n, n]):
+            kept, ends = winnowed(x, np.array(offsets), K, window)
+            assert set(kept.tolist()) == least and len(ends) == len(offsets) and ends[-1] == len(kept)
+
+
+def test_tables_of_one_short_text(spark):
+    for n in (21, 27, 28, 30):
+        d = spark.createDataFrame([(1, "abcdefghij" * 3)], "doc_id int, text string").selectExpr("doc_id", f"substr(text, 1, {n}) AS text")
+        got = leaked(d, "doc_id", "text", d.selectExpr("doc_id AS item_id", "text"), "item_id", "text").collect()
+        assert [tuple(r) for r in got] == [(1, 1, n)] * (n >= RUN)
+
+
 def test_against_brute_force(spark):
     rng = random.Random(6)
     items = [(i, "".join(rng.choices("가나다라마바사 .", k=90))) for i in range(20)] + [(90, None), (91, ""), (92, "짧다")]
