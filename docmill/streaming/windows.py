@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,19 +27,24 @@ def windowed(events: DataFrame, ts: str, by: list[str], value: str, length: str
 
 
 def recent_by_user(events: DataFrame, key: str, ts: str, value: str, n: int = TURNS) -> DataFrame:
-    """(key, turns, recent): per trigger, how many rows a key has had and its last n values by time, comma-joined."""
+    """(key, turns, recent): per trigger, how many rows a key has had and its last n values by time, comma-joined.
 
+    A key's rows come in several chunks in no order of time, so the n latest of held and new rows are kept chunk by chunk, with
+    their times. Rows of the same time stand in the order of their values, rows without a time come last; null values don't count.
+    """
     def update(name: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, recent = state.get if state.exists else (0, "")
-        held = [x for x in recent.split(",") if x]
+        seen, kept = state.get if state.exists else (0, "[]")
+        held = [tuple(x) for x in json.loads(kept)]
         for pdf in pdfs:
-            rows = pdf.sort_values(ts, kind="stable")[value].dropna().tolist()
-            seen, held = seen + len(pdf), (held + rows)[-n:]
-        state.update((seen, ",".join(held)))
-        yield pd.DataFrame({key: [name[0]], "turns": [seen], "recent": [",".join(held)]})
+            rows = pdf.dropna(subset=["value"]).sort_values(["at", "value"]).tail(n)
+            seen, held = seen + len(pdf), sorted([*held, *zip(rows["at"].tolist(), rows["value"].tolist(), strict=True)])[-n:]
+        state.update((seen, json.dumps(held)))
+        yield pd.DataFrame({key: [name[0]], "turns": [seen], "recent": [",".join(x for _, x in held)]})
 
     kind = events.schema[key].dataType.simpleString()
-    return events.select(key, ts, value).groupBy(key).applyInPandasWithState(update, f"{key} {kind}, turns bigint, recent string", "turns bigint, recent string", "update", GroupStateTimeout.NoTimeout)
+    at = F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")), F.lit(2**63 - 1)).alias("at")
+    rows = events.select(F.col(key).alias("key"), at, F.col(value).cast("string").alias("value"))
+    return rows.groupBy("key").applyInPandasWithState(update, f"{key} {kind}, turns bigint, recent string", "turns bigint, kept string", "update", GroupStateTimeout.NoTimeout)
 
 
 def drained(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
