@@ -60,33 +60,49 @@ def metadata_matches(queries: DataFrame, query: str, text: str, targets: DataFra
 
 
 @F.pandas_udf(DoubleType())
-def phrase_similarity(target: pd.Series, query: pd.Series) -> pd.Series:
-    """Best matching-blocks ratio of a token list to the query's stretches of about as many tokens."""
+def matching_ratio(target: pd.Series, phrase: pd.Series) -> pd.Series:
+    """Matching-blocks ratio of two strings."""
+    return pd.Series([difflib.SequenceMatcher(None, t, p).ratio() for t, p in zip(target, phrase, strict=True)])
 
-    def best(t, q) -> float:
-        if t is None or q is None or not len(t) or not len(q):
-            return 0.0
-        whole, top = "".join(t), 0.0
-        for size in range(max(1, len(t) - 1), min(len(q), len(t) + 1) + 1):
-            for at in range(len(q) - size + 1):
-                top = max(top, difflib.SequenceMatcher(None, whole, "".join(q[at : at + size])).ratio())
-        return top
 
-    return pd.Series([best(t, q) for t, q in zip(target, query, strict=True)])
+def _numbered(text: str) -> F.Column:
+    """A string's characters, each with its number among its equals, in a fixed order: a multiset as a set."""
+    chars = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(F.col(text), i, F.lit(1)))
+    return F.array_sort(F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x == c)).cast("string"))))
 
 
 def fuzzy_matches(queries: DataFrame, query: str, text: str, targets: DataFrame, floor: float = REDUCED) -> DataFrame:
-    """(query, field, value, confidence): targets that a query nearly spells, among those that share a pair of characters twice.
+    """(query, field, value, confidence): every target that a query nearly spells, by its likest phrase; `floor` is above 0.
 
-    A ratio of 0.7 or more needs common characters in order; pairs that share fewer than two neighbouring ones are not looked at.
+    Phrases are the query's stretches of as many tokens as the value has, one less or one more. No pair of ratio `floor` is lost:
+    a ratio f of strings of a and b characters needs f * (a + b) / 2 common ones, so at least f / (2 - f) of either. Of the
+    characters in a fixed order, the first a - need + 1 and b - need + 1 must then have one in common, which leads from phrases to
+    values. What meets is held against the bound itself and only then scored. Equal phrases and equal values are scored once.
     """
-    q = queries.select(F.col(query).alias("q"), tokens(text).alias("qt"), compact(text).alias("qc"))
-    two = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(2))))
-    met = q.select("q", F.explode(two("qc")).alias("g")).join(targets.select("field", "value", F.explode(two("compact")).alias("g")), "g")
-    near = met.groupBy("q", "field", "value").agg(F.count("*").alias("n")).where("n >= 2")
-    both = near.join(q.select("q", "qt"), "q").join(targets.select("field", "value", "tokens"), ["field", "value"])
-    scored = both.withColumn("s", phrase_similarity("tokens", "qt")).where(F.col("s") >= floor)
-    return scored.select(F.col("q").alias(query), "field", "value", F.round(F.least(F.lit(0.84), F.col("s")), 3).alias("confidence"))
+    share = floor / (2 - floor)
+    need = lambda n: F.greatest(F.ceil(share * n - 1e-9).cast("int"), F.lit(1))
+    led = lambda c, n: F.slice(c, F.lit(1), n - need(n) + 1)
+
+    named = targets.select("field", "value", F.array_join("tokens", "").alias("whole"), F.size("tokens").alias("words")).where("whole != ''")
+    wholes = named.select("whole", "words").distinct().withColumn("a", F.length("whole"))
+    wholes = wholes.withColumn("size", F.explode(F.sequence(F.greatest(F.col("words") - 1, F.lit(1)), F.col("words") + 1)))
+    bounds = wholes.groupBy("size").agg(F.min(need(F.col("a"))).alias("least"), F.ceil(F.max("a") / share + 1e-9).alias("most"))
+
+    q = queries.select(F.col(query).alias("q"), tokens(text).alias("qt")).where(F.size("qt") > 0)
+    at = F.sequence(F.lit(1), F.size("qt") - F.col("size") + 1)
+    said = q.crossJoin(F.broadcast(bounds)).where(F.size("qt") >= F.col("size"))
+    said = said.select("q", "size", "least", "most", F.explode(F.transform(at, lambda i: F.array_join(F.slice("qt", i, F.col("size")), ""))).alias("phrase"))
+    said = said.where(F.length("phrase").between(F.col("least"), F.col("most"))).select("q", "size", "phrase")
+
+    p = said.select("size", "phrase").distinct().withColumn("b", F.length("phrase")).withColumn("pc", _numbered("phrase")).withColumn("pl", led("pc", F.col("b")))
+    t = wholes.withColumn("tc", _numbered("whole")).withColumn("tl", led("tc", F.col("a")))
+    met = p.withColumn("c", F.explode("pl")).join(t.withColumn("c", F.explode("tl")), ["size", "c"])
+    # Pairs meet at each common leading character; the first one counts.
+    met = met.where(F.col("c") == F.array_intersect("pl", "tl")[0]).where(2.0 * F.size(F.array_intersect("pc", "tc")) / (F.col("a") + F.col("b")) >= floor)
+    scored = met.select("size", "phrase", "whole", "words", matching_ratio("whole", "phrase").alias("s")).where(F.col("s") >= floor)
+    best = said.join(scored, ["size", "phrase"]).groupBy("q", "whole", "words").agg(F.max("s").alias("s")).join(named, ["whole", "words"])
+    best = best.groupBy("q", "field", "value").agg(F.max("s").alias("s"))
+    return best.select(F.col("q").alias(query), "field", "value", F.round(F.least(F.lit(0.84), F.col("s")), 3).alias("confidence"))
 
 
 def at_stage(matches: DataFrame, stage: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import difflib
 import math
 import random
 from collections import defaultdict
@@ -5,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
+from docmill.functions import text
 from docmill.operators import dialogue, evaluation, ingest, layout, matching, quality, ranking, retrieval, statistics
 from docmill.plans.presets import make_plan, stages
 
@@ -209,6 +211,41 @@ def test_matching(spark):
     assert matching.at_stage(matching.metadata_matches(asked, "q", "t", targets), "strict").count() == 2
 
 
+def likest(t, q):
+    """Every phrase of about as many tokens against the whole value."""
+    sizes = range(max(1, len(t) - 1), min(len(q), len(t) + 1) + 1) if t and q else ()
+    return max((difflib.SequenceMatcher(None, "".join(t), "".join(q[i : i + n])).ratio() for n in sizes for i in range(len(q) - n + 1)), default=0.0)
+
+
+def against_all_pairs(asked, targets):
+    qs = [(r.q, r.w) for r in asked.select("q", text.tokens("t").alias("w")).collect()]
+    return {(q, t.field, t.value): round(min(0.84, s), 3) for q, w in qs for t in targets.collect() if (s := likest(t.tokens, w)) >= matching.REDUCED}
+
+
+def test_fuzzy_values_that_share_few_pairs(spark):
+    targets = matching.metadata_targets(spark.createDataFrame([("서울시청", "가나다라"), ("가나다라마", "하루"), ("ab12", "ab12 통합 통합")], "agency string, project string"))
+    asked = spark.createDataFrame([(1, "서울구청"), (2, "가나마라"), (3, "가다나라마"), (4, "하루 종일"), (5, "통합 통합"), (6, None), (7, ""), (8, "a1b2 통합")], "q int, t string")
+    got = {(r.q, r.field, r.value): r.confidence for r in matching.fuzzy_matches(asked, "q", "t", targets).collect()}
+    assert got == against_all_pairs(asked, targets)
+    assert got[1, "agency", "서울시청"] == got[2, "project", "가나다라"] == 0.75
+    assert got[3, "agency", "가나다라마"] == 0.8 and got[4, "project", "하루"] == 0.84
+
+
+def test_fuzzy_against_all_pairs(spark, data):
+    targets = matching.metadata_targets(spark.read.parquet(f"{data}/rfp_documents.parquet"))
+    asked = spark.read.parquet(f"{data}/prompt_injection_ko.parquet").selectExpr("item_id AS q", "text AS t")
+    rng = random.Random(8)
+    near = []
+    for i, (v,) in enumerate(targets.select("value").collect()):
+        x = list(v)
+        for _ in range(rng.randrange(1, 3)):
+            x[rng.randrange(len(x))] = rng.choice("시청관리 ")
+        near.append((f"near{i}", "".join(x)))
+    for rows in (asked, spark.createDataFrame(near, "q string, t string")):
+        got = [((r.q, r.field, r.value), r.confidence) for r in matching.fuzzy_matches(rows, "q", "t", targets).collect()]
+        assert len(got) == len(dict(got)) and dict(got) == against_all_pairs(rows, targets)
+
+
 def test_contaminated(spark):
     held = spark.createDataFrame([("공원 수목 예산은 얼마인가",), (None,)], "t string")
     asked = spark.createDataFrame([(1, "공원 수목  예산은 얼마인가"), (2, "공원 수목 예산은 얼마인가요"), (3, "전혀 다른 질문입니다"), (4, " "), (5, None)], "q int, t string")
