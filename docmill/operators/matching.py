@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions.text import compact, tokens
+from ..functions.text import compact, nfc, strip, tokens
 
 STRICT, REDUCED = 0.90, 0.70
 #: Characters of a compact value that lead from a query to it.
 KEY = 3
+# Words that tell no value from another.
+GENERIC = "rfp 사업 용역 구축 고도화 개발 운영 정보 시스템".split()
 
 
 def metadata_targets(docs: DataFrame, fields: tuple[str, ...] = ("agency", "project")) -> DataFrame:
@@ -59,6 +61,61 @@ def metadata_matches(queries: DataFrame, query: str, text: str, targets: DataFra
     return best.select(F.col("q").alias(query), "field", "value", "m.confidence", "m.match_type")
 
 
+def explicit_aliases(docs: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """(field, value, alias): the distinct aliases that documents list for a field's value; columns: field -> its array of aliases."""
+    each = [docs.select(F.lit(f).alias("field"), strip(F.col(f).cast("string")).alias("value"), F.explode(c).alias("alias")) for f, c in columns.items()]
+    return reduce(DataFrame.unionAll, each).where("value != ''").withColumn("alias", strip("alias")).where("alias != ''").distinct()
+
+
+def cascade_matches(queries: DataFrame, query: str, text: str, docs: DataFrame, fields: tuple[str, ...] = ("agency", "project", "title"), aliases: dict[str, str] | None = None) -> DataFrame:
+    """(query, field, value, confidence, match_type): the first way in which a query names a value of the metadata.
+
+    In this order: compact_contains 1.0, the value (two characters or more) stands within the query. explicit_alias .92, one of its
+    aliases does, or all of an alias's words are the query's. abbreviation .78, for an agency: a short word of it with a Latin letter
+    or digit, or what follows 기관 in its name. partial_tokens: of the words that aren't generic (of all, if all are) two or more are
+    the query's, .70 + .19 of their share, at most .89; or one of three characters or more, of at most two, in a project or title, .72.
+    Texts count in NFC. A value has the aliases of all documents that bear it. Pairs meet as in `metadata_matches`; the last way of
+    the reference, by similar phrases, is `fuzzy_matches`.
+    """
+    q = queries.where(F.col(text).isNotNull()).select(F.col(query).alias("q"), nfc(text).alias("x")).select("q", compact("x").alias("qc"), tokens("x").alias("qt"))
+    values = docs.select(*(strip(F.col(f).cast("string")).alias(f) for f in fields)).unpivot([], list(fields), "field", "value").where("value != ''").distinct()
+    t = values.withColumn("x", nfc("value")).select("field", "value", compact("x").alias("compact"), tokens("x").alias("tokens"))
+    core = F.filter("tokens", lambda w: ~w.isin(GENERIC))
+    t = t.withColumn("core", F.when(F.size(core) > 0, core).otherwise(F.col("tokens")))
+
+    def keys(n: int) -> F.Column:
+        at = F.sequence(F.lit(1), F.length("qc") - n + 1)
+        return F.when(F.length("qc") >= n, F.transform(at, lambda i: F.substring(F.col("qc"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    led = q.select("q", "qc", F.explode(F.array_distinct(F.concat(*(keys(n) for n in range(1, KEY + 1))))).alias("key"))
+    words = q.select("q", F.explode(F.array_distinct("qt")).alias("word"))
+
+    def within(names: DataFrame) -> DataFrame:
+        """(q, field, value) of names whose compact form stands within a query."""
+        return led.join(names.where("compact != ''").withColumn("key", F.substring("compact", 1, KEY)), "key").where(F.col("qc").contains(F.col("compact"))).select("q", "field", "value")
+
+    def way(found: DataFrame, order: int, name: str, confidence: F.Column) -> DataFrame:
+        return found.select("q", "field", "value", F.struct(F.lit(order).alias("order"), confidence.alias("confidence"), F.lit(name).alias("match_type")).alias("m"))
+
+    ways = [way(within(t.where(F.length("compact") >= 2)), 1, "compact_contains", F.lit(1.0))]
+    if aliases:
+        named = explicit_aliases(docs, aliases).withColumn("x", nfc("alias")).select("field", "value", "alias", compact("x").alias("compact"), F.array_distinct(tokens("x")).alias("tokens"))
+        said = words.join(named.select("field", "value", "alias", F.size("tokens").alias("size"), F.explode("tokens").alias("word")), "word")
+        said = said.groupBy("q", "field", "value", "alias", "size").agg(F.count("*").alias("n")).where("n = size")
+        ways += [way(f, 2, "explicit_alias", F.lit(0.92)) for f in (within(named), said)]
+    short = F.filter("tokens", lambda w: (F.length(w) <= 4) & w.rlike("[a-z0-9]"))
+    rest = F.when(F.col("compact").startswith("기관") & (F.length("compact") > 2), F.array(F.expr("substring(compact, 3)"))).otherwise(F.array().cast("array<string>"))
+    abbreviated = t.where("field = 'agency'").select("field", "value", F.explode(F.array_union(short, rest)).alias("compact"))
+    said = words.join(abbreviated.withColumnRenamed("compact", "word"), "word")
+    ways += [way(f, 3, "abbreviation", F.lit(0.78)) for f in (within(abbreviated.where(F.length("compact") >= 2)), said)]
+    wanted = t.select("field", "value", F.size("core").alias("size"), F.explode("core").alias("word"))
+    common = words.join(wanted, "word").groupBy("q", "field", "value", "size").agg(F.count("*").alias("n"), F.max(F.length("word")).alias("long"))
+    ways.append(way(common.where("n >= 2"), 4, "partial_tokens", F.round(F.least(F.lit(0.89), 0.70 + 0.19 * F.col("n") / F.col("size")), 3)))
+    ways.append(way(common.where("n = 1 AND field IN ('project', 'title') AND size <= 2 AND long >= 3"), 4, "partial_tokens", F.lit(0.72)))
+    best = reduce(DataFrame.unionAll, ways).groupBy("q", "field", "value").agg(F.min("m").alias("m"))
+    return best.select(F.col("q").alias(query), "field", "value", "m.confidence", "m.match_type")
+
+
 @F.pandas_udf(DoubleType())
 def matching_ratio(target: pd.Series, phrase: pd.Series) -> pd.Series:
     """Matching-blocks ratio of two strings."""

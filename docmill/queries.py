@@ -271,6 +271,31 @@ def match_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.metadata_matches(_t(spark, sf_dir, "prompt_injection_ko"), "item_id", "text", targets)
 
 
+_GENERIC = "[" + ", ".join(f"'{w}'" for w in matching.GENERIC) + "]"
+_N = "nfc_normalize({})"
+
+
+@_query(
+    f"""WITH v AS (SELECT 'agency' AS field, {_sql_strip('agency')} AS value, NULL AS al FROM rfp_documents UNION ALL SELECT 'project', {_sql_strip('project')}, project_aliases FROM rfp_documents UNION ALL SELECT 'title', {_sql_strip('title')}, NULL FROM rfp_documents),
+    a AS (SELECT field, value, list({_sql_strip('x')}) AS al FROM (SELECT field, value, unnest(al) AS x FROM v) WHERE {_sql_strip('x')} <> '' GROUP BY 1, 2),
+    t AS (SELECT d.field, d.value, {_COMPACT.format(_N.format('d.value'))} AS c, {_sql_tokens(_N.format('d.value'))} AS tk, list_distinct(coalesce(a.al, [])) AS al FROM (SELECT DISTINCT field, value FROM v WHERE value <> '') d LEFT JOIN a ON a.field = d.field AND a.value = d.value),
+    u AS (SELECT *, CASE WHEN len(list_filter(tk, lambda w: NOT list_contains({_GENERIC}, w))) > 0 THEN list_filter(tk, lambda w: NOT list_contains({_GENERIC}, w)) ELSE tk END AS core,
+        CASE WHEN field = 'agency' THEN list_concat(list_filter(tk, lambda w: length(w) <= 4 AND regexp_matches(w, '[a-z0-9]')), CASE WHEN starts_with(c, '기관') AND length(c) > 2 THEN [substr(c, 3)] ELSE [] END) ELSE [] END AS ab,
+        list_transform(al, lambda y: {{'c': {_COMPACT.format(_N.format('y'))}, 'tk': {_sql_tokens(_N.format('y'))}}}) AS ax FROM t),
+    q AS (SELECT item_id, {_COMPACT.format(_N.format('text'))} AS qc, {_sql_tokens(_N.format('text'))} AS qt FROM prompt_injection_ko WHERE text IS NOT NULL),
+    m AS (SELECT item_id, field, value, len(core) AS k, list_filter(core, lambda w: list_contains(qt, w)) AS o, length(c) >= 2 AND contains(qc, c) AS whole,
+        len(list_filter(ax, lambda y: (y.c <> '' AND contains(qc, y.c)) OR (len(y.tk) > 0 AND list_has_all(qt, y.tk)))) > 0 AS named,
+        len(list_filter(ab, lambda y: list_contains(qt, y) OR (length(y) >= 2 AND contains(qc, y)))) > 0 AS short FROM q, u),
+    r AS (SELECT *, len(o) = 1 AND field IN ('project', 'title') AND k <= 2 AND length(o[1]) >= 3 AS single FROM m)
+    SELECT DISTINCT item_id, field, value, CASE WHEN whole THEN 1.0 WHEN named THEN 0.92 WHEN short THEN 0.78 WHEN len(o) >= 2 THEN round(least(0.89, 0.70 + 0.19 * len(o)::DOUBLE / k), 3) ELSE 0.72 END::DOUBLE AS confidence,
+    CASE WHEN whole THEN 'compact_contains' WHEN named THEN 'explicit_alias' WHEN short THEN 'abbreviation' ELSE 'partial_tokens' END AS match_type FROM r WHERE whole OR named OR short OR len(o) >= 2 OR single"""
+)
+def match_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole cascade but its fuzzy end, which is match_fuzzy: agencies, projects and titles, with the projects' aliases."""
+    docs = _t(spark, sf_dir, "rfp_documents")
+    return matching.cascade_matches(_t(spark, sf_dir, "prompt_injection_ko"), "item_id", "text", docs, aliases={"project": "project_aliases"})
+
+
 @_query()
 def match_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries that nearly spell a metadata value; no SQL has the ratio, so brute force tests it."""

@@ -211,6 +211,21 @@ def test_matching(spark):
     assert matching.at_stage(matching.metadata_matches(asked, "q", "t", targets), "strict").count() == 2
 
 
+def test_cascade(spark):
+    docs = [("기관가람", "철도 신호 구축 사업", ["철도신호통합", "신호 망"]), ("LH 공사", "구축 사업", None), ("한강", "발매기 운영", ["발"]), (" ", "철도 신호 구축 사업", ["KX"])]
+    d = spark.createDataFrame(docs, "agency string, project string, project_aliases array<string>")
+    asked = [(1, "철도신호통합의 예산"), (2, "망 신호는"), (3, "kx?"), (4, "lh의 일정"), (5, "가람은"), (6, "철도와 신호"), (7, "발매기"), (8, "구축 사업"), (9, "신호"), (10, None), (11, "철도 신호 구축 사업")]
+    got = matching.cascade_matches(spark.createDataFrame(asked, "q int, t string"), "q", "t", d, ("agency", "project"), {"project": "project_aliases"})
+    rail = "철도 신호 구축 사업"
+    assert {(r.q, r.value): (r.confidence, r.match_type) for r in got.collect()} == {
+        (1, rail): (0.92, "explicit_alias"), (2, rail): (0.92, "explicit_alias"), (3, rail): (0.92, "explicit_alias"), (4, "LH 공사"): (0.78, "abbreviation"),
+        (5, "기관가람"): (0.78, "abbreviation"), (6, rail): (0.89, "partial_tokens"), (7, "발매기 운영"): (0.92, "explicit_alias"), (8, "구축 사업"): (1.0, "compact_contains"),
+        (11, rail): (1.0, "compact_contains"), (11, "구축 사업"): (1.0, "compact_contains"),
+    }
+    plain = matching.cascade_matches(spark.createDataFrame(asked, "q int, t string"), "q", "t", d, ("agency", "project"))
+    assert {(r.q, r.value): r.confidence for r in plain.collect() if r.q in (1, 3, 7)} == {(7, "발매기 운영"): 0.72}
+
+
 def likest(t, q):
     """Every phrase of about as many tokens against the whole value."""
     sizes = range(max(1, len(t) - 1), min(len(q), len(t) + 1) + 1) if t and q else ()
