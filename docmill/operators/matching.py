@@ -180,9 +180,10 @@ def longest_prefix(df: DataFrame, text: str, prices: DataFrame, prefix: str) ->
 
     By equality on every leading part of the text that is as long as some prefix, so no row meets every prefix.
     """
-    lengths = [r[0] for r in prices.select(F.length(prefix)).distinct().limit(256).collect()]
+    lengths = prices.agg(F.collect_set(F.length(prefix)).alias("_n"))
     df = df.withColumn("_row", F.monotonically_increasing_id())
-    parts = F.array_distinct(F.array(*(F.substring(text, 1, n) for n in lengths))) if lengths else F.array().cast("array<string>")
-    hits = df.select("_row", F.explode(parts).alias("_p")).join(prices, F.col("_p") == F.col(prefix))
+    there = F.filter("_n", lambda n: n <= F.length(text))
+    parts = F.transform(there, lambda n: F.substring(text, F.lit(1), n))
+    hits = df.crossJoin(F.broadcast(lengths)).select("_row", F.explode(parts).alias("_p")).join(prices, F.col("_p") == F.col(prefix))
     best = hits.groupBy("_row").agg(F.max_by(F.struct(*prices.columns), F.length(prefix)).alias("_b"))
     return df.join(best, "_row", "left").select(*[c for c in df.columns if c != "_row"], *(F.col(f"_b.{c}").alias(c) for c in prices.columns))

@@ -211,6 +211,14 @@ def test_matching(spark):
     assert matching.at_stage(matching.metadata_matches(asked, "q", "t", targets), "strict").count() == 2
 
 
+def test_longest_prefix_of_many_lengths(spark):
+    prices = spark.createDataFrame([("a" * n, n) for n in range(1, 401)] + [(None, -1)], "prefix string, price int")
+    rows = spark.createDataFrame([(n, "a" * n + "b") for n in (0, 1, 137, 256, 257, 399, 400, 450)] + [(-1, None), (-2, "")], "k int, t string")
+    got = {r.k: r.price for r in matching.longest_prefix(rows, F.col("t"), prices, "prefix").collect()}
+    assert got == {n: min(n, 400) or None for n in (0, 1, 137, 256, 257, 399, 400, 450)} | {-1: None, -2: None}
+    assert [r.price for r in matching.longest_prefix(rows, F.col("t"), prices.limit(0), "prefix").collect()] == [None] * 10
+
+
 def test_cascade(spark):
     docs = [("기관가람", "철도 신호 구축 사업", ["철도신호통합", "신호 망"]), ("LH 공사", "구축 사업", None), ("한강", "발매기 운영", ["발"]), (" ", "철도 신호 구축 사업", ["KX"])]
     d = spark.createDataFrame(docs, "agency string, project string, project_aliases array<string>")
