@@ -12,7 +12,7 @@ from .language import language_segments, mislabelled_segments
 from .leaks import leaked
 from .near_duplicates import NearDuplicates, all_pairs, groups, near_duplicates
 from .same_text import canonical_rows, same_print_pairs
-from .split import split_sections
+from .split import FULL, split_sections
 from .top_items import top_items
 
 
@@ -53,7 +53,13 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_sections(_table(spark, sf_dir, "rfp_sections"), "section_uid", "text")
+    long = _table(spark, sf_dir, "rfp_sections").where(F.length("text") > 520)  # only these are asked for
+    return split_sections(long, "section_uid", "text", 520, overlap=1, costs=FULL).drop("total_chunks_in_section")
+
+
+def p3_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(section_uid, chunk_seq_in_section, total_chunks_in_section, start_pos, end_pos, text): every section in pieces of even size, up to two sentences shared."""
+    return split_sections(_table(spark, sf_dir, "rfp_sections"), "section_uid", "text", 520, overlap=2, with_text=True)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +86,7 @@ def p7_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_groups, p3_found, p4_found, p5_ids, p6_found, p7_found, p7_segments)}
+    return {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_groups, p3_found, p3_chunks, p4_found, p5_ids, p6_found, p7_found, p7_segments)}
 
 
 def oracle_sql() -> dict[str, str]:

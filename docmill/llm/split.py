@@ -2,8 +2,8 @@
 
 Method: dynamic programming over the boundary positions of a text. A piece from unit i (a sentence, or a part of one that is
 over the limit) to unit j costs what its end cuts through, how far its length is from the limit, and what further units it
-would have had room for; the cheapest way to the text's end is taken. All rows of a slice advance together, a unit a step.
-With `room` far above the other costs the cheapest way fills every piece, which is the rule of p3_found.
+would have had room for; the cheapest way of all to the text's end is taken. All rows of a slice advance together, a unit a
+step. With `room` far above the other costs (FULL) the cheapest way fills every piece, which is the rule of p3_found.
 """
 
 from __future__ import annotations
@@ -26,11 +26,14 @@ LINE_BREAKS = "\n\r\x0b\x0c\x85\u2028\u2029"
 
 
 class Costs(NamedTuple):
-    room: float = 1e6  # for each further unit that the piece would have had room for
+    room: float = 0.0  # for each further unit that the piece would have had room for
     sentence: float = 1.0  # for ending at a sentence's end within a line
     within: float = 20.0  # for ending within a sentence
     size: float = 10.0  # times the square of the unfilled share of the limit
-    least: float = 0.8  # share of the limit that a piece has at least, unless the next unit no longer fits
+
+
+#: Every piece takes as many units as fit, whatever it cuts through.
+FULL = Costs(room=1e6)
 
 
 class Units(NamedTuple):
@@ -94,7 +97,7 @@ def units(cps: np.ndarray, offsets: np.ndarray, limit: int) -> Units:
     return Units(start, end[by], np.searchsorted(offsets, start, side="right") - 1, how[by])
 
 
-def pieces(u: Units, limit: int, overlap: bool, costs: Costs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def pieces(u: Units, limit: int, overlap: int, costs: Costs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First unit, last unit and number in its row of each piece, in order."""
     n = len(u.start)
     if not n:
@@ -105,21 +108,24 @@ def pieces(u: Units, limit: int, overlap: bool, costs: Costs) -> tuple[np.ndarra
     sizes = np.diff(np.append(heads, n))
     last = np.repeat(heads + sizes - 1, sizes)
     far = np.minimum(np.searchsorted(u.end, u.start + limit, side="right") - 1, last)
-    nxt = np.minimum(index + 1, n - 1)
-    shared = (index < last) & (u.end[nxt] - u.start <= limit) if overlap else np.zeros(n, bool)
-    near = np.minimum(np.searchsorted(u.end, u.start + int(limit * costs.least), side="left"), far)
+    # The first unit that still fits into a piece together with the unit after this one.
+    fits = np.searchsorted(u.start, u.end[np.minimum(index + 1, n - 1)] - limit, side="left")
+
+    def onward(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Where the piece after [a, b] begins: at most `overlap` units back, and beyond a."""
+        return np.minimum(np.maximum(np.maximum(a + 1, b + 1 - overlap), fits[b]), b + 1)
+
     cut = np.array([0.0, costs.sentence, costs.within])[u.kind]
     best, choice = np.zeros(n + 1), np.zeros(n, np.int64)
     order = np.argsort(last - index, kind="stable")
     steps = np.searchsorted((last - index)[order], np.arange(int(sizes.max()) + 1))
     for k in range(int(sizes.max())):
         i = order[steps[k] : steps[k + 1]]
-        width = far[i] - near[i] + 1
+        width = far[i] - i + 1
         begin = np.cumsum(width) - width
         a = np.repeat(i, width)
-        b = near[a] + np.arange(len(a)) - np.repeat(begin, width)
-        then = np.where(shared[b] & (b > a), b, b + 1)
-        cost = costs.room * (far[a] - b) + np.where(b == last[a], 0.0, cut[b] + costs.size * (1 - (u.end[b] - u.start[a]) / limit) ** 2 + best[then])
+        b = a + np.arange(len(a)) - np.repeat(begin, width)
+        cost = costs.room * (far[a] - b) + np.where(b == last[a], 0.0, cut[b] + costs.size * (1 - (u.end[b] - u.start[a]) / limit) ** 2 + best[onward(a, b)])
         least = np.minimum.reduceat(cost, begin)
         best[i] = least
         hit = np.flatnonzero(cost == np.repeat(least, width))
@@ -131,21 +137,22 @@ def pieces(u: Units, limit: int, overlap: bool, costs: Costs) -> tuple[np.ndarra
         out.append(np.stack([at, to, np.full(len(at), seq)]))
         more = to < last[at]
         at, to = at[more], to[more]
-        at, seq = np.where(shared[to] & (to > at), to, to + 1), seq + 1
+        at, seq = onward(at, to), seq + 1
     table = np.concatenate(out, axis=1)
     table = table[:, np.lexsort((table[2], table[0]))]
     by = np.lexsort((table[2], u.row[table[0]]))
     return tuple(table[:, by])
 
 
-def split_sections(df: DataFrame, key: str, text: str, limit: int = 520, overlap: bool = True, costs: Costs = Costs(), with_text: bool = False) -> DataFrame:
-    """(key, chunk_seq_in_section, start_pos, end_pos[, text]): the pieces of each text of over `limit` code points.
+def split_sections(df: DataFrame, key: str, text: str, limit: int = 520, overlap: int = 1, costs: Costs = Costs(), with_text: bool = False) -> DataFrame:
+    """(key, chunk_seq_in_section, total_chunks_in_section, start_pos, end_pos[, text]): each text in pieces of at most `limit` code points.
 
-    Positions are code points from 0, ends exclusive, numbers from 1. With `overlap`, a piece begins with the last unit of the
-    one before if that and the following unit fit together. Null, blank and short texts have no pieces; repeated keys each have
-    their own; a text without any white space is cut every `limit` code points. Runs where the rows are, without a shuffle.
+    Positions are code points from 0, ends exclusive, numbers from 1. A piece begins with up to `overlap` last units of the one
+    before, as many as fit together with the unit that follows them. A text of at most `limit` is one piece, from its first to
+    its last character that isn't white space. Null and blank texts have no pieces; repeated keys each have their own; a text
+    without any white space is cut every `limit` code points. Runs where the rows are, without a shuffle.
     """
-    schema = f"{key} {df.schema[key].dataType.simpleString()}, chunk_seq_in_section int, start_pos int, end_pos int" + ", text string" * with_text
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, chunk_seq_in_section int, total_chunks_in_section int, start_pos int, end_pos int" + ", text string" * with_text
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,13 +162,13 @@ def split_sections(df: DataFrame, key: str, text: str, limit: int = 520, overlap
                 u = units(cps, offsets, limit)
                 a, b, seq = pieces(u, limit, overlap, costs)
                 row, start, end = u.row[a], u.start[a], u.end[b]
-                out = [keys.take(pa.array(row + lo)), pa.array(seq, pa.int32()), pa.array(start - offsets[row], pa.int32()), pa.array(end - offsets[row], pa.int32())]
+                total = np.bincount(row, minlength=hi - lo)[row] if len(row) else row
+                out = [keys.take(pa.array(row + lo)), pa.array(seq, pa.int32()), pa.array(total, pa.int32()), pa.array(start - offsets[row], pa.int32()), pa.array(end - offsets[row], pa.int32())]
                 if with_text:
                     length = end - start
                     to = np.concatenate(([0], np.cumsum(length)))
                     at = np.arange(to[-1]) + np.repeat(start - to[:-1], length)
                     out.append(to_strings(cps[at], to).cast(pa.string()))
-                yield pa.RecordBatch.from_arrays(out, [key, "chunk_seq_in_section", "start_pos", "end_pos"] + ["text"] * with_text)
+                yield pa.RecordBatch.from_arrays(out, [key, "chunk_seq_in_section", "total_chunks_in_section", "start_pos", "end_pos"] + ["text"] * with_text)
 
-    long = df.where(F.length(text) > limit).select(F.col(key), F.col(text))
-    return long.mapInArrow(split, schema)
+    return df.where(F.col(text).isNotNull()).select(F.col(key), F.col(text)).mapInArrow(split, schema)

@@ -2,7 +2,7 @@ import random
 
 from docmill.llm.canonical import WHITE_SPACE
 from docmill.llm.queries import p3_found
-from docmill.llm.split import ENDS, LINE_BREAKS, Costs, split_sections
+from docmill.llm.split import ENDS, FULL, LINE_BREAKS, split_sections
 
 
 def sentences(t, limit):
@@ -36,7 +36,7 @@ def sentences(t, limit):
     return parts
 
 
-def greedy(t, limit):
+def greedy(t, limit, overlap=1):
     parts, out, i = sentences(t, limit), [], 0
     while i < len(parts):
         j = i
@@ -45,7 +45,7 @@ def greedy(t, limit):
         out.append((parts[i][0], parts[j][1]))
         if j + 1 == len(parts):
             break
-        i = j if parts[j + 1][1] - parts[j][0] <= limit and j > i else j + 1
+        i = next(s for s in range(max(i + 1, j + 1 - overlap), j + 2) if s > j or parts[j + 1][1] - parts[s][0] <= limit)
     return out
 
 
@@ -54,7 +54,7 @@ def run(spark, texts, limit, **more):
     out = {}
     for r in split_sections(df, "k", "text", limit, **more).orderBy("k", "chunk_seq_in_section").collect():
         out.setdefault(r.k, []).append((r.start_pos, r.end_pos))
-        assert r.chunk_seq_in_section == len(out[r.k])
+        assert r.chunk_seq_in_section == len(out[r.k]) <= r.total_chunks_in_section
         if more.get("with_text"):
             assert r.text == texts[r.k][r.start_pos : r.end_pos]
     return out
@@ -65,14 +65,54 @@ def test_against_greedy(spark):
     texts = ["".join(rng.choices("ab가. \n!?　 \U0001f4c4", k=rng.randrange(0, 120))) for _ in range(400)]
     texts += [None, "", " " * 40, "x" * 95, "가" * 20 + " " + "나" * 20, "a. " * 60, "끝\n" * 50]
     for limit in (5, 13, 40):
-        want = {i: greedy(t, limit) for i, t in enumerate(texts) if t and len(t) > limit and greedy(t, limit)}
-        assert run(spark, texts, limit, with_text=True) == want
+        for overlap in (0, 1, 3):
+            want = {i: greedy(t, limit, overlap) for i, t in enumerate(texts) if t and greedy(t, limit, overlap)}
+            assert run(spark, texts, limit, overlap=overlap, costs=FULL, with_text=True) == want
+
+
+def test_short_texts_are_one_piece(spark):
+    assert run(spark, ["한 문장이다. 또 한 문장이다.", " 가 ", "", None, " \n"], 520) == {0: [(0, 17)], 1: [(1, 2)]}
+
+
+def cheapest(t, limit, overlap, size=10.0, sentence=1.0, within=20.0):
+    """The least cost of all ways to cut a text, by trying every one."""
+    parts = sentences(t, limit)
+
+    def end_cost(j):
+        between = t[parts[j][1] : parts[j + 1][0]]
+        if set(between) & set(LINE_BREAKS):
+            return 0.0
+        return sentence if between and t[parts[j][1] - 1] in ENDS else within
+
+    def ways(i):
+        j = i
+        while j < len(parts) and parts[j][1] - parts[i][0] <= limit:
+            if j + 1 == len(parts):
+                yield 0.0, [(parts[i][0], parts[j][1])]
+                break
+            nxt = next(s for s in range(max(i + 1, j + 1 - overlap), j + 2) if s > j or parts[j + 1][1] - parts[s][0] <= limit)
+            own = end_cost(j) + size * (1 - (parts[j][1] - parts[i][0]) / limit) ** 2
+            for cost, rest in ways(nxt):
+                yield own + cost, [(parts[i][0], parts[j][1]), *rest]
+            j += 1
+
+    return list(ways(0))
+
+
+def test_no_way_is_cheaper(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("ab가. \n", weights=[5, 5, 5, 3, 4, 1], k=rng.randrange(10, 45))).strip() or "a" for _ in range(60)]
+    for overlap in (0, 2):
+        got = run(spark, texts, 14, overlap=overlap)
+        for i, t in enumerate(texts):
+            every = cheapest(t, 14, overlap)
+            assert next(c for c, w in every if w == got[i]) <= min(c for c, _ in every) + 1e-9
 
 
 def test_balanced_pieces(spark):
     text = "".join(f"문장 번호 {i:02d}이다. " for i in range(40))
-    greedy_sizes = [b - a for a, b in run(spark, [text], 100, overlap=False)[0]]
-    even = run(spark, [text], 100, overlap=False, costs=Costs(room=0, least=0))[0]
+    greedy_sizes = [b - a for a, b in run(spark, [text], 100, overlap=0, costs=FULL)[0]]
+    even = run(spark, [text], 100, overlap=0)[0]
     sizes = [b - a for a, b in even]
     assert max(sizes) <= 100 and len(sizes) <= len(greedy_sizes) + 1
     assert even[0][0] == 0 and all(b <= c for (_, b), (c, _) in zip(even, even[1:], strict=False))
