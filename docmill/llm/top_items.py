@@ -8,39 +8,51 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.staging import BROADCAST_ROWS, staged
+
 #: A hot group's rows meet their bound in so many tasks.
 SALTS = 16
+#: Rows that a task holds at most while it looks for bounds.
+HELD = 1 << 18
+
 
+def _local_bounds(names: list[str], n: int, held: int = HELD):
+    """Per stretch of a partition: each group's n-th best score, of the groups that have n rows there.
 
-def _local_bounds(names: list[str], n: int):
-    """Per partition: each group's n-th best score, of the groups that have n rows there."""
+    A stretch ends where more than `held` rows would have to be kept; a bound that a stretch gives holds for the whole table,
+    and a group that gets none is only filtered less.
+    """
 
     def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: pd.DataFrame | None = None
-        waiting: list[pd.DataFrame] = []
+        parts: list[pd.DataFrame] = []
 
-        def best() -> pd.DataFrame:
-            rows = pd.concat(([] if kept is None else [kept]) + waiting, ignore_index=True)
-            rows = rows.sort_values("score", ascending=False, kind="stable")
-            return rows[rows.groupby(names, sort=False).cumcount() < n]
+        def best() -> tuple[pd.DataFrame, pd.Series]:
+            rows = pd.concat(parts, ignore_index=True).sort_values("score", ascending=False, kind="stable")
+            place = rows.groupby(names, sort=False).cumcount()
+            return rows[place < n], place[place < n]
 
-        size = 0
+        size = kept = 0
         for batch in batches:
-            waiting.append(batch.to_pandas())
-            size += batch.num_rows
-            if kept is None or size > len(kept):
-                kept, waiting, size = best(), [], 0
-        if waiting:
-            kept = best()
-        if kept is not None:
-            nth = kept[kept.groupby(names, sort=False).cumcount() == n - 1]
-            yield pa.RecordBatch.from_pandas(nth, preserve_index=False)
+            for lo in range(0, batch.num_rows, held):
+                part = batch.slice(lo, held)
+                parts.append(part.to_pandas())
+                size += part.num_rows
+                if size <= max(2 * kept, held // 4):
+                    continue
+                rows, place = best()
+                if len(rows) > held // 2:
+                    yield pa.RecordBatch.from_pandas(rows[place == n - 1], preserve_index=False)
+                    parts, size, kept = [], 0, 0
+                else:
+                    parts, size, kept = [rows], len(rows), len(rows)
+        if parts:
+            rows, place = best()
+            yield pa.RecordBatch.from_pandas(rows[place == n - 1], preserve_index=False)
 
     return bounds
 
@@ -62,15 +74,18 @@ def top_items(df: DataFrame, groups: list[str], score: str, tie: str, n: int, sa
     ).where(" and ".join(f"{c} is not null" for c in [*g, "score"]) + " and not isnan(score)")
     if same:
         # The shuffle on `same` also spreads every group evenly over the partitions that set the bounds.
-        first = rows.groupBy(*s).agg(F.min(F.struct("tie", "score", *g)).alias("r"))
-        rows = first.select("r.*")
+        rows = rows.groupBy(*s).agg(F.min(F.struct("tie", "score", *g)).alias("r")).select("r.*")
+        rows = staged(rows.select(*g, "tie", "score"), "p4-rows")
     rows = rows.select(*g, "tie", "score")
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in g)
     local = rows.select(*g, "score").mapInArrow(_local_bounds(g, n), f"{kinds}, score double")
-    bounds = local.groupBy(*g).agg(F.max("score").alias("bound"))
-    salted = bounds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    bounds = staged(local.groupBy(*g).agg(F.max("score").alias("bound")), "p4-bounds")
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("tie"), F.lit(SALTS)).cast("int"))
-    survivors = rows.join(salted, [*g, "salt"], "left").where("bound is null or score >= bound")
+    if bounds.count() <= BROADCAST_ROWS:
+        met = rows.join(F.broadcast(bounds), g, "left")
+    else:
+        met = rows.join(bounds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*g, "salt"], "left")
+    survivors = met.where("bound is null or score >= bound")
     best_first = [F.col("score").desc(), F.col("tie").asc()]
     part = Window.partitionBy(*g, "salt").orderBy(*best_first)
     whole = Window.partitionBy(*g).orderBy(*best_first)

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 from compare import connect, difference
 from docmill.llm.queries import oracle_sql, p4_found
+from docmill.llm import top_items as m
 from docmill.llm.top_items import top_items
 
 KINDS = "g string, h string, e bigint, a string, c string, s double, salt int, bound double, g0 string, tie bigint"
@@ -43,5 +44,30 @@ def test_empty_and_ties(spark):
     assert sorted(r.e for r in top_items(same, ["g"], "s", "e", 3).collect()) == [0, 1, 2]
 
 
+def test_bounds_hold_little_and_hold_true():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    group = np.concatenate([np.arange(200_000), np.repeat(np.arange(50), 400)])
+    rng.shuffle(group)
+    score = rng.random(len(group))
+    table = pa.table({"g": group, "score": score})
+    out = pa.Table.from_batches(m._local_bounds(["g"], 5, 4096)(iter(table.to_batches(1000))))
+    assert out.num_rows >= 50
+    best = {}
+    for g, s in zip(group, score, strict=True):
+        best.setdefault(int(g), []).append(s)
+    for g, s in zip(out["g"].to_pylist(), out["score"].to_pylist(), strict=True):
+        assert s <= sorted(best[g])[-5]
+
+
+def test_bounds_beyond_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(m, "BROADCAST_ROWS", 0)
+    rows = [("a" if e % 3 else "b", "x", e, f"{e}", "c", (e * 37 % 101) / 10) for e in range(2000)]
+    df = spark.createDataFrame([(*r, 1, 2.0, "clash", 3) for r in rows], KINDS).repartition(5)
+    assert sorted(tuple(r) for r in top_items(df, ["g", "h"], "s", "e", 5, same=["a", "c"]).collect()) == brute(rows, 5)
+
+
 def test_query(spark, data):
     assert not difference(p4_found(spark, data), connect(data), oracle_sql()["p4_found"])
