@@ -2,9 +2,10 @@
 
 Method: monoid tree reduction. A text is encoded in halves down to leaves; two neighbours are joined by encoding anew the
 window around their seam. Before white space that follows something else a token always ends, whatever stands around, for no
-alternative of the vocabulary's pattern runs from other characters into white space. So a window that grows from the seam to
-the nearest such place on either side, or to the end of its node, holds every token that the seam can have changed.
-Decoding concatenates up the tree as well.
+alternative of the vocabulary's pattern runs from other characters into white space. So the window from the nearest such
+place on one side of the seam to that on the other, or to the end of its node, holds every token that the seam can have
+changed; each node carries its outermost such places, so the window is known at once and need not be grown step by step.
+Decoding concatenates up the tree as well. A text of at most LEAF code points is one leaf.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed value: the vocabulary's published pattern of words.
@@ -50,11 +52,11 @@ class Node(NamedTuple):
 class Known(dict):
     """Ids of the words met so far."""
 
-    def __init__(self, piece: Callable[[bytes], list[int]]):
+    def __init__(self, piece: Callable[[str], list[int]]):
         self.piece = piece
 
     def __missing__(self, word: str) -> bytes:
-        ids = self[word] = np.array(self.piece(word.encode("utf-8", "surrogatepass")), "<i4").tobytes()
+        ids = self[word] = np.array(self.piece(word), "<i4").tobytes()
         return ids
 
 
@@ -64,7 +66,8 @@ class Encoder:
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        piece = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        # A word taken by itself is one word again, so the library's whole encoding of it is that of the word.
+        piece = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.bytes = {i: b for b, i in ranks.items()}
         self.known = Known(piece)
         self.leaf = leaf
@@ -113,13 +116,26 @@ class Encoder:
 
 
 @lru_cache(2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str | None = None) -> Encoder:
+    """Called in the tasks: the vocabulary is looked up where it is used."""
+    if path is None:
+        path = vocabulary_path()
+    elif not os.path.exists(path):
+        path = SparkFiles.get(os.path.basename(path))
     return Encoder(path)
 
 
+def shipped(path: str | None) -> str | None:
+    """A vocabulary file of the driver's, sent to the executors; without one they take that of their own installation."""
+    spark = SparkSession.getActiveSession()
+    if path and spark and os.path.exists(path):
+        spark.sparkContext.addFile(path)
+    return path
+
+
 def token_ids(text: str | Column, path: str | None = None) -> Column:
     """array<int> of a text's token ids, without special tokens; an empty array for empty and for null text."""
-    path = path or vocabulary_path()
+    path = shipped(path)
 
     @F.arrow_udf("array<int>")
     def ids(text: pa.Array) -> pa.Array:
@@ -133,7 +149,7 @@ def token_ids(text: str | Column, path: str | None = None) -> Column:
 
 def token_text(ids: str | Column, path: str | None = None) -> Column:
     """The text that token ids stand for; '' for an empty list, null for null. Bytes that are no UTF-8 come as U+FFFD."""
-    path = path or vocabulary_path()
+    path = shipped(path)
 
     @F.arrow_udf("string")
     def text(ids: pa.Array) -> pa.Array:

@@ -51,6 +51,17 @@ def test_columns(spark, whole):
     assert m.encoded(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_given_vocabulary_is_sent(spark, whole, tmp_path):
+    import shutil
+
+    own = f"{tmp_path}/own.tiktoken"
+    shutil.copy(PATH, own)
+    df = spark.createDataFrame([("공고 abc",)], "text string")
+    assert df.select(m.token_ids("text", own).alias("ids")).first().ids == whole("공고 abc")
+    elsewhere = lambda: m.encoder("/nowhere/on/this/machine/own.tiktoken").encode("공고 abc")
+    assert spark.range(1).rdd.map(lambda _: elsewhere()).first() == m.encoder(PATH).encode("공고 abc")
+
+
 def test_query_equals_library(spark, data):
     import public_tokenizers as P
 
