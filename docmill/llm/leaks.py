@@ -69,27 +69,57 @@ def fingerprints(text: str | Column, run: int = RUN, k: int = K) -> Column:
     return kept(text)
 
 
-def longest_run(a: np.ndarray, b: np.ndarray, k: int, run: int) -> int:
-    """Length of the longest run that a and b share, if it has `run` code points; found from shared hashes of k."""
+def _meetings(ours: np.ndarray, theirs: np.ndarray, mine: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of equal hashes at which the neighbours `mine` and `other` differ; -1 is a neighbour that isn't there."""
+    order = np.argsort(theirs, kind="stable")
+    lo, hi = (np.searchsorted(theirs[order], ours, side=s) for s in ("left", "right"))
+    hit = np.flatnonzero(hi > lo)
+    # By hash: few distinct neighbours on either side, so equal ones are passed over without being paired.
+    by_hash: dict[int, np.ndarray] = {}
+    for i in hit[np.unique(ours[hit], return_index=True)[1]]:
+        by_hash[int(ours[i])] = order[lo[i] : hi[i]]
+    a, b = [], []
+    grouped = hit[np.lexsort((mine[hit], ours[hit]))]
+    cut = np.flatnonzero((np.diff(ours[grouped]) != 0) | (np.diff(mine[grouped]) != 0)) + 1
+    for own in np.split(grouped, cut) if len(grouped) else []:
+        there = by_hash[int(ours[own[0]])]
+        there = there[(other[there] != mine[own[0]]) | (other[there] < 0)]
+        if len(there):
+            a.append(np.repeat(own, len(there)))
+            b.append(np.tile(there, len(own)))
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+
+
+def longest_run(a: np.ndarray, b: np.ndarray, k: int, run: int, block: int = 1 << 16) -> int:
+    """Length of the longest run that a and b share, if it has `run` code points; found from shared hashes of k.
+
+    A run is known by its two ends: equal hashes whose neighbours before, or after, differ. On one diagonal they follow each
+    other, so the k-th begin and the k-th end are one run, and what lies between is never listed: a letter that is repeated
+    throughout costs its length, not the square of it. A long text is taken in blocks that overlap by the other's length, in
+    which every run lies whole.
+    """
+    if len(a) < len(b):
+        a, b = b, a
+    step = max(block, 2 * len(b))
+    return max((_longest(a[lo : lo + step + len(b)], b, k, run) for lo in range(0, max(len(a) - len(b), 1), step)), default=0)
+
+
+def _longest(a: np.ndarray, b: np.ndarray, k: int, run: int) -> int:
     ha, hb = hashes(a, k), hashes(b, k)
-    order = np.argsort(hb, kind="stable")
-    lo, hi = (np.searchsorted(hb[order], ha, side=s) for s in ("left", "right"))
-    count = hi - lo
-    pa_, start = np.repeat(np.arange(len(ha)), count), np.repeat(lo - (np.cumsum(count) - count), count)
-    pb = order[start + np.arange(len(pa_))]
-    # Extension: neighbouring hits on one diagonal are one run, k - 1 longer than there are hits.
-    by = np.lexsort((pa_, pa_ - pb))
-    pa_, pb = pa_[by], pb[by]
-    if not len(pa_):
+    if not len(ha) or not len(hb):
         return 0
-    new = np.concatenate(([True], (np.diff(pa_) != 1) | (np.diff(pa_ - pb) != 0)))
-    heads = np.flatnonzero(new)
-    length = np.diff(np.append(heads, len(pa_))) + k - 1
-    for i in np.argsort(-length):
-        if length[i] < run:
+    x, y = a.astype(np.int64), b.astype(np.int64)
+    begin = _meetings(ha, hb, np.append(-1, x)[: len(ha)], np.append(-1, y)[: len(hb)])
+    end = _meetings(ha, hb, np.append(x, -1)[k:], np.append(y, -1)[k:])
+    ordered = lambda at: (by := np.lexsort((at[0], at[0] - at[1])), at[0][by], at[1][by])[1:]
+    (i, j), (to, _) = ordered(begin), ordered(end)
+    length = to - i + k
+    for r in np.argsort(-length):
+        n = length[r]
+        if n < run:
             return 0
-        x, y, n = pa_[heads[i]], pb[heads[i]], length[i]
-        if (a[x : x + n] == b[y : y + n]).all():
+        if (a[i[r] : i[r] + n] == b[j[r] : j[r] + n]).all():
             return int(n)
     return 0
 
@@ -116,10 +146,11 @@ def leaked(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: s
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ours, theirs, lengths = batch.column(2), batch.column(3), []
-            for x, y in zip(ours, theirs, strict=True):
-                a, b = (np.frombuffer((s.as_py() or "").encode("utf-32-le"), np.uint32) for s in (x, y))
-                lengths.append(longest_run(a, b, k, run))
+            texts, lengths = plain(batch.column(2)), []
+            b, to = to_codepoints(plain(batch.column(3)))
+            for lo, hi in slices(texts):
+                a, at = to_codepoints(texts[lo:hi])
+                lengths += [longest_run(a[at[i - lo] : at[i - lo + 1]], b[to[i] : to[i + 1]], k, run) for i in range(lo, hi)]
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lengths, pa.int32())], ["doc", "item", "run_length"])
             yield out.filter(np.array(lengths, np.int32) >= run)
 

@@ -51,6 +51,37 @@ def test_tables_of_one_short_text(spark):
         assert [tuple(r) for r in got] == [(1, 1, n)] * (n >= RUN)
 
 
+def longest_brute(a, b):
+    best, row = 0, [0] * (len(b) + 1)
+    for x in a:
+        row = [0] + [row[j] + 1 if x == y else 0 for j, y in enumerate(b)]
+        best = max(best, *row)
+    return best
+
+
+def test_longest_run_is_the_longest():
+    rng = random.Random(7)
+    for n in range(300):
+        letters = rng.choice(["ab", "a", "abc가", "abcdefghij"])
+        piece = "".join(rng.choices(letters, k=rng.randrange(1, 25)))
+        a, b = ("".join(rng.choices(letters, k=rng.randrange(60))) + piece * rng.randrange(1, 6) + "".join(rng.choices(letters, k=rng.randrange(40))) for _ in range(2))
+        want = longest_brute(a, b)
+        for block in (1 << 16, 8):
+            assert longest_run(points(a), points(b), 4, 6, block) == (want if want >= 6 else 0), (n, a, b)
+
+
+def test_a_repeated_letter_costs_little():
+    import tracemalloc
+
+    b = points("a" * 300)
+    for a in ("a" * 1_000_000, "ab" * 500_000, "a" * 200 + "b" + "a" * 1_000_000):
+        tracemalloc.start()
+        assert longest_run(points(a), b, K, RUN) == (0 if a[1] == "b" else 300)
+        assert tracemalloc.get_traced_memory()[1] < 200e6
+        tracemalloc.stop()
+    assert longest_run(points("ab" * 500_000), points("ba" * 150), K, RUN) == 300
+
+
 def test_against_brute_force(spark):
     rng = random.Random(6)
     items = [(i, "".join(rng.choices("가나다라마바사 .", k=90))) for i in range(20)] + [(90, None), (91, ""), (92, "짧다")]
