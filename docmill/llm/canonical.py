@@ -3,21 +3,26 @@
 Every code point is looked up once: the table gives its expansion (full decomposition with look-alikes replaced; nothing for
 invisible characters; one space for any white space). Runs of white space become one space, marks are put in canonical
 order and composed with their letters, round by round over all rows at once. Circled, raised and lowered characters and
-fractions keep their identity, as does letter case.
+fractions keep their identity, as does letter case. Letters of other scripts that look like Latin ones come from Unicode's
+data on confusable characters (`look_alikes`), which the driver reads and the tasks are handed.
 """
 
 from __future__ import annotations
 
+import string
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
+from pyspark.sql import SparkSession
 
 from .codepoints import keep, row_starts
 
-# Characters that print like the Latin letters below them, in both rows in the same order.
+# Characters that print like the Latin letters below them, in both rows in the same order. They stand before what
+# Unicode's data says, and alone where a function is called without it.
 LOOK_ALIKES = (
     ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϲϳ", "ABEZHIKMNOPTYXovcj"),  # Greek
     ("АВЕЅІЈКМНОРСТУХаеорсухѕіјһԁԛԝԚԜҮӀӏ", "ABESIJKMHOPCTYXaeopcyxsijhdqwQWYll"),  # Cyrillic
@@ -64,12 +69,45 @@ def _expand(cp: int) -> tuple[int, ...]:
     return tuple(x for p in parts[parts[0][0] == "<" :] for x in _expand(int(p, 16)))
 
 
-@lru_cache(1)
-def tables() -> Tables:
+#: Scripts in which a reader of this text is at home, and Latin itself: their letters are none of another script's.
+HOME = ("LATIN", "HANGUL", "CJK", "KATAKANA", "HIRAGANA", "KATAKANA-HIRAGANA", "IDEOGRAPHIC", "FULLWIDTH", "HALFWIDTH")
+
+
+def look_alikes(spark: SparkSession | None = None) -> bytes:
+    """Letters of other scripts that print like a single Latin letter, each with it: pairs of code points, four bytes each.
+
+    By the skeletons of Unicode's confusable characters, from the ICU library that Spark ships; read once a session, on the
+    driver. Where one skeleton stands for several Latin letters (I and l), capitals go to the capital. b"" without a JVM.
+    """
+    spark = spark or SparkSession.getActiveSession()
+    sc = getattr(spark, "_sc", None)
+    if sc is None:
+        return b""
+    if not hasattr(sc, "_docmill_look_alikes"):
+        sc._docmill_look_alikes = _confusable_letters(sc._jvm.com.ibm.icu.text.SpoofChecker.Builder().build().getSkeleton)
+    return sc._docmill_look_alikes
+
+
+def _confusable_letters(skeleton: Callable[[str], str]) -> bytes:
+    ours: dict[str, dict[bool, str]] = {}
+    for c in string.ascii_letters:
+        ours.setdefault(skeleton(c), {})[c.isupper()] = c
+    letters = [chr(cp) for cp in range(0x250, 0x32000) if unicodedata.category(chr(cp)) in ("Lu", "Ll", "Lo") and not unicodedata.decomposition(chr(cp)) and unicodedata.name(chr(cp), "HANGUL").split()[0] not in HOME]
+    pairs = []
+    for c, like in zip(letters, skeleton("\n".join(letters)).split("\n"), strict=True):
+        if like in ours:
+            of = ours[like]
+            pairs.append((ord(c), ord(of.get(c.isupper()) or next(iter(of.values())))))
+    return np.array(pairs, "<u4").tobytes()
+
+
+@lru_cache(4)
+def tables(more: bytes = b"") -> Tables:
     n = sys.maxunicode + 1
     first, length, offset, order = np.arange(n, dtype=np.uint32), np.ones(n, np.uint8), np.zeros(n, np.int32), np.zeros(n, np.uint8)
     assigned = 0x32000  # beyond are private use, tags and variation selectors
-    alike = {ord(a): ord(b) for theirs, ours in LOOK_ALIKES for a, b in zip(theirs, ours, strict=True)}
+    alike = {int(a): int(b) for a, b in np.frombuffer(more, "<u4").reshape(-1, 2)}
+    alike |= {ord(a): ord(b) for theirs, ours in LOOK_ALIKES for a, b in zip(theirs, ours, strict=True)}
     alike |= dict.fromkeys(map(ord, HYPHENS), ord("-")) | dict.fromkeys(map(ord, MIDDLE_DOTS), 0xB7)
     rest: list[int] = []
     for cp in range(0xA0, assigned):
@@ -205,9 +243,9 @@ def _composed_letters(t: Tables, cps: np.ndarray, offsets: np.ndarray) -> tuple[
     return cps, offsets
 
 
-def canonical(cps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rows in the one form; rows of white space or nothing visible come out empty."""
-    t = tables()
+def canonical(cps: np.ndarray, offsets: np.ndarray, alike: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+    """The rows in the one form; rows of white space or nothing visible come out empty. alike: from `look_alikes`."""
+    t = tables(alike)
     cps, offsets = _expanded(t, cps, offsets)
     cps, offsets = _collapsed(cps, offsets)
     cps, offsets = _composed_marks(t, cps, offsets)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .canonical import SPACE, canonical, letters_and_digits
+from .canonical import SPACE, canonical, letters_and_digits, look_alikes
 from .codepoints import keep, plain, slices, to_codepoints, to_strings
 
 Rows = tuple[np.ndarray, np.ndarray]
@@ -25,30 +26,36 @@ def rewritten(column: pa.Array, rewrite: Callable[[np.ndarray, np.ndarray], Rows
     return pa.concat_arrays(parts).cast(pa.string()) if parts else pa.array([], pa.string())
 
 
-def without_space(cps: np.ndarray, offsets: np.ndarray) -> Rows:
-    cps, offsets = canonical(cps, offsets)
+def without_space(cps: np.ndarray, offsets: np.ndarray, alike: bytes = b"") -> Rows:
+    cps, offsets = canonical(cps, offsets, alike)
     return keep(cps, offsets, cps != SPACE)
 
 
-def reduced(cps: np.ndarray, offsets: np.ndarray) -> Rows:
-    return letters_and_digits(*canonical(cps, offsets))
+def reduced(cps: np.ndarray, offsets: np.ndarray, alike: bytes = b"") -> Rows:
+    return letters_and_digits(*canonical(cps, offsets, alike))
 
 
-def canonical_text(text: str | Column) -> Column:
-    """Text in the one form of problem 1; null stays null, blank or invisible text becomes ''."""
+def _column(text: str | Column, rewrite: Callable[..., Rows]) -> Column:
+    """The rewritten text, with the session's look-alikes."""
+    rewrite = partial(rewrite, alike=look_alikes())
 
     @F.arrow_udf("string")
     def form(text: pa.Array) -> pa.Array:
-        return rewritten(text, canonical)
+        return rewritten(text, rewrite)
 
     return form(text)
 
 
-def reduced_text(text: str | Column) -> Column:
-    """Canonical text in lower case, reduced to letters and digits; null stays null."""
+def canonical_text(text: str | Column) -> Column:
+    """Text in the one form of problem 1; null stays null, blank or invisible text becomes ''."""
+    return _column(text, canonical)
 
-    @F.arrow_udf("string")
-    def form(text: pa.Array) -> pa.Array:
-        return rewritten(text, reduced)
 
-    return form(text)
+def bare_text(text: str | Column) -> Column:
+    """Canonical text without white space; null stays null."""
+    return _column(text, without_space)
+
+
+def reduced_text(text: str | Column) -> Column:
+    """Canonical text in lower case, reduced to letters and digits; null stays null."""
+    return _column(text, reduced)

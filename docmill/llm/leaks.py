@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.staging import BROADCAST_ROWS, staged
+from .canonical import look_alikes
 from .codepoints import plain, slices, to_codepoints
 from .columns import reduced, reduced_text
 
@@ -58,11 +59,13 @@ def winnowed(cps: np.ndarray, offsets: np.ndarray, k: int, window: int) -> tuple
 def fingerprints(text: str | Column, run: int = RUN, k: int = K) -> Column:
     """array<bigint> of the winnowed hashes of a text's reduced form; empty for null text and for shorter forms than `run`."""
 
+    alike = look_alikes()
+
     @F.arrow_udf("array<bigint>")
     def kept(text: pa.Array) -> pa.Array:
         text, parts = plain(text), []
         for lo, hi in slices(text):
-            values, ends = winnowed(*reduced(*to_codepoints(text[lo:hi])), k, run - k + 1)
+            values, ends = winnowed(*reduced(*to_codepoints(text[lo:hi]), alike), k, run - k + 1)
             parts.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.view(np.int64))))
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int64()))
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import components
 from ..plans.staging import BROADCAST_ROWS, staged
 from .codepoints import counts_before, plain, slices, to_codepoints
-from .columns import rewritten, without_space
+from .columns import bare_text
 from .leaks import hashes
 
 SHINGLE = 5
@@ -92,12 +92,8 @@ class NearDuplicates(NamedTuple):
 def _forms(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
     parts = [df.select(F.lit(k).alias("t"), F.col(key).cast("bigint").alias("id"), F.col(text).alias("form")) for k, (df, key, text) in enumerate(tables.values())]
 
-    @F.arrow_udf("string")
-    def form(text: pa.Array) -> pa.Array:
-        return rewritten(text, without_space)
-
     rows = reduce(DataFrame.unionAll, parts).where("id is not null and form is not null")
-    return rows.withColumn("form", form("form")).where("form != ''").withColumn("digest", F.unhex(F.md5("form")))
+    return rows.withColumn("form", bare_text("form")).where("form != ''").withColumn("digest", F.unhex(F.md5("form")))
 
 
 def _same(a: str, b: str) -> F.Column:

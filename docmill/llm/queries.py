@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .encode import encoded
-from .language import language_segments, mislabelled_segments
+from .language import WITHIN, document_languages, language_segments, mislabelled_segments
 from .leaks import leaked
 from .near_duplicates import NearDuplicates, all_pairs, groups, near_duplicates
 from .same_text import canonical_rows, same_print_pairs
@@ -82,11 +82,25 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, seg_no, lang, confidence, n_segments): all segments of all documents."""
     docs, samples = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "lang_samples")
-    return language_segments(docs, "doc_id", "text", samples).withColumn("confidence", F.round("confidence", 4))
+    found = language_segments(docs, "doc_id", "text", samples)
+    return found.select("doc_id", "seg_no", "lang", F.round("confidence", 4).alias("confidence"), "n_segments")
+
+
+def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, seg_no, lang, confidence, start_pos, end_pos): as p7_segments, but a line may hold several languages."""
+    docs, samples = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "lang_samples")
+    found = language_segments(docs, "doc_id", "text", samples, within=WITHIN)
+    return found.select("doc_id", "seg_no", "lang", F.round("confidence", 4).alias("confidence"), "start_pos", "end_pos")
+
+
+def p7_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, confidence, n_segments): the language of every document with letters."""
+    found = document_languages(_table(spark, sf_dir, "documents"), "doc_id", "text", _table(spark, sf_dir, "lang_samples"))
+    return found.withColumn("confidence", F.round("confidence", 4))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_groups, p3_found, p3_chunks, p4_found, p5_ids, p6_found, p7_found, p7_segments)}
+    return {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_groups, p3_found, p3_chunks, p4_found, p5_ids, p6_found, p7_found, p7_segments, p7_spans, p7_documents)}
 
 
 def oracle_sql() -> dict[str, str]:

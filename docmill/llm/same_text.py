@@ -11,9 +11,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.staging import staged
+from ..plans.staging import BROADCAST_ROWS, staged
 from .columns import canonical_text
 
+#: Tasks over which the copies of one spelling are spread.
+SALTS = 16
+
 
 def canonical_rows(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
     """(tbl, id, text): every text of the named tables, given as (table, id column, text column), in the one form.
@@ -30,8 +33,8 @@ def canonical_rows(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
 def same_print_pairs(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
     """(tbl, id_a, id_b): pairs of rows of one table whose stored texts differ and print alike; id_a < id_b.
 
-    A pair comes once, however often its rows repeat. Null and blank texts have no pairs; nor have exact copies of each other, of which each pairs with every other spelling.
-    Spellings are paired before rows are: a text that a third of all rows hold in one spelling costs one row per copy.
+    A pair comes once, however often its rows repeat. Null and blank texts have no pairs; nor have exact copies of each other,
+    of which each pairs with every other spelling. Spellings are paired before rows are, and a spelling's copies are salted.
     """
     parts = [
         df.select(F.lit(name).alias("tbl"), F.col(key).cast("bigint").alias("id"), F.col(text).alias("stored"))
@@ -48,15 +51,17 @@ def same_print_pairs(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame
     rows = staged(rows, "p1-digests")
     spellings = rows.groupBy("tbl", "form", "stored").agg(F.count("*").alias("copies"))
     several = spellings.groupBy("tbl", "form").agg(F.count("*").alias("n")).where("n > 1").select("tbl", "form")
-    spellings = spellings.join(several, ["tbl", "form"], "left_semi").select("tbl", "form", "stored")
-    a, b = spellings.withColumnRenamed("stored", "stored_a"), spellings.withColumnRenamed("stored", "stored_b")
-    pairs = a.join(b, ["tbl", "form"]).where("stored_a < stored_b").select("tbl", "stored_a", "stored_b")
-    one = rows.select("tbl", F.col("stored").alias("stored_a"), F.col("id").alias("x"))
-    two = rows.select("tbl", F.col("stored").alias("stored_b"), F.col("id").alias("y"))
-    return (
-        pairs.join(one, ["tbl", "stored_a"])
-        .join(two, ["tbl", "stored_b"])
-        .where("x != y")
-        .select("tbl", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-        .distinct()
-    )
+    spellings = spellings.join(several, ["tbl", "form"], "left_semi")
+    ordered = F.struct("copies", "stored")
+    a, b = (spellings.select("tbl", "form", ordered.alias(c)) for c in "ab")
+    # Of two spellings, a is the one with more copies.
+    pairs = a.join(b, ["tbl", "form"]).where("a > b").select("tbl", F.col("a.stored").alias("a"), F.col("b.stored").alias("b"))
+    pairs = staged(pairs, "p1-spellings")
+    known = F.broadcast(pairs) if pairs.count() <= BROADCAST_ROWS else pairs
+    many = rows.select("tbl", F.col("stored").alias("a"), F.col("id").alias("x")).join(known, ["tbl", "a"])
+    few = rows.select("tbl", F.col("stored").alias("b"), F.col("id").alias("y")).join(known, ["tbl", "b"])
+    # A spelling's many copies are spread over SALTS tasks, each of which sees all of the fewer ones.
+    many = many.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int"))
+    few = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = many.join(few, ["tbl", "a", "b", "salt"]).where("x != y")
+    return met.select("tbl", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
