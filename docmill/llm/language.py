@@ -63,6 +63,7 @@ class Model(NamedTuple):
     own: np.ndarray  # [script, language]: in which scripts a language is written
     grams: np.ndarray  # [3 sizes of n-gram << BITS, alphabetic languages]: log of the smoothed share
     han: np.ndarray  # [1 << BITS, languages with Han]: likewise of single characters
+    known: np.ndarray  # [1 << BITS]: the characters that some sample holds
     temperature: float
     alike: bytes
 
@@ -140,7 +141,7 @@ def fit(samples: list[tuple[str, str]], calibrate: bool = True, alike: bytes = b
         own[1:, k] = count >= OWN * max(count.sum(), 1)
         if not count.sum():
             own[list(TYPICAL.get(lang, (OTHER,))), k] = True
-    model = Model(langs, own, np.zeros(0), np.zeros(0), 1.0, alike)
+    model = Model(langs, own, np.zeros(0), np.zeros(0), np.zeros(0), 1.0, alike)
     alphabetic, eastern = model.alphabetic, np.flatnonzero(own[HAN])
     counts, han = np.full((3 << BITS, len(alphabetic)), 0.5), np.full((1 << BITS, len(eastern)), 0.5)
     at, grams = _grams(cps, first, script)
@@ -149,10 +150,11 @@ def fit(samples: list[tuple[str, str]], calibrate: bool = True, alike: bytes = b
             np.add.at(counts[:, k], slot[ok & (code[row[at]] == lang)], 1)
     for k, lang in enumerate(eastern):
         np.add.at(han[:, k], cps[(script == HAN) & (code[row] == lang)] & ((1 << BITS) - 1), 1)
+    seen = (han > 0.5).any(axis=1)
     for size in range(3):
         part = counts[size << BITS : size + 1 << BITS]
         part /= part.sum(axis=0)
-    model = model._replace(grams=np.log(counts).astype(np.float32), han=np.log(han / han.sum(axis=0)).astype(np.float32))
+    model = model._replace(grams=np.log(counts).astype(np.float32), han=np.log(han / han.sum(axis=0)).astype(np.float32), known=seen | ~seen.any())
     return model._replace(temperature=_temperature(samples, alike)) if calibrate and len(samples) > 1 else model
 
 
@@ -172,7 +174,7 @@ def piece_scores(model: Model, pieces: list[tuple[str, str]]) -> tuple[np.ndarra
     """Scores by language, by the root of their words, and the true language's number; pieces without letters are left out."""
     scores, words = line_scores(model, *canonical(*to_codepoints(plain(pa.array([t for _, t in pieces], pa.string()))), model.alike))
     true = np.array([model.langs.index(x) if x in model.langs else -1 for x, _ in pieces], np.int64)
-    kept = (words > 0) & (true >= 0)
+    kept, words = (words != 0) & (true >= 0), np.abs(words)
     return scores[kept] / np.sqrt(words[kept])[:, None], true[kept]
 
 
@@ -195,7 +197,11 @@ def _temperature(samples: list[tuple[str, str]], alike: bytes) -> float:
 
 
 def line_scores(model: Model, cps: np.ndarray, offsets: np.ndarray, whole_lines: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Of canonical lines, or words: the sum of their words' scores by language, and how many words they have."""
+    """Of canonical lines, or words: the sum of their words' scores by language, and how many words they have.
+
+    A word without evidence for any language does not count: one in a script that no sample is written in, or of Han characters
+    that no sample holds. A line of such words alone has a score by its scripts and a count of -1.
+    """
     script, first, lines = scripts()[cps], row_starts(len(cps), offsets), len(offsets) - 1
     langs, own = len(model.langs), model.own
     # Kana and Han are written without spaces: a run of both is one word here.
@@ -206,7 +212,7 @@ def line_scores(model: Model, cps: np.ndarray, offsets: np.ndarray, whole_lines:
         return np.zeros((lines, langs)), np.zeros(lines, np.int64)
     word = np.cumsum(new) - 1
     of = kind[heads]
-    score = np.full((len(heads), langs), -FLOOR)
+    score, told = np.full((len(heads), langs), -FLOOR), np.ones(len(heads), bool)
     score[(of == HANGUL)[:, None] & own[HANGUL]] = 0
     # Alphabets: their languages by n-grams.
     at, grams = _grams(cps, first, script)
@@ -231,17 +237,20 @@ def line_scores(model: Model, cps: np.ndarray, offsets: np.ndarray, whole_lines:
         starts = np.flatnonzero(np.concatenate(([True], word[east[1:]] != word[east[:-1]])))
         sums = np.add.reduceat(points, starts, axis=0)
         kana = np.add.reduceat(script[east] == KANA, starts, dtype=np.int64) > 0
+        told[word[east[starts]]] = np.logical_or.reduceat((script[east] == KANA) | model.known[cps[east] & ((1 << BITS) - 1)], starts)
         which = word[east[starts]]
         sums -= sums.max(axis=1, keepdims=True)
         score[which[:, None], eastern] = np.where(kana[:, None], np.where(own[KANA][eastern], 0, -FLOOR), np.maximum(sums, -FLOOR))
         score[which[:, None], np.flatnonzero(own[HANGUL])] = -FLOOR / 2
     for k in (LATIN, HANGUL, HAN, OTHER):
         if not (own[k] | (own[KANA] if k == HAN else False)).any():
-            score[of == k] = 0  # no language is written so
+            score[of == k], told[of == k] = 0, False  # no language is written so
     line = np.searchsorted(offsets, heads, side="right") - 1
     # An empty line shares its offset with the next; the last of them holds the word.
     starts = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
     out, words = np.zeros((lines, langs)), np.zeros(lines, np.int64)
+    count = np.add.reduceat(told, starts, dtype=np.int64)
+    score[~told & (np.repeat(count, np.diff(np.append(starts, len(line)))) > 0)] = 0
     out[line[starts]] = np.add.reduceat(score, starts, axis=0)
     if whole_lines:
         # A line has candidates by its scripts: none of its words is in one of theirs, so it isn't in that language. Latin
@@ -249,7 +258,7 @@ def line_scores(model: Model, cps: np.ndarray, offsets: np.ndarray, whole_lines:
         has = np.stack([np.logical_or.reduceat(own[k][None, :] & (of == k)[:, None], starts, axis=0) for k in (HANGUL, HAN, OTHER)]).any(axis=0)
         kana = np.logical_or.reduceat(of == HAN, starts)[:, None] & own[KANA]
         out[line[starts]] -= EXCLUDED * ~(has | kana | own[LATIN])
-    words[line[starts]] = np.diff(np.append(starts, len(line)))
+    words[line[starts]] = np.where(count > 0, count, -1)
     return out, words
 
 
@@ -302,7 +311,11 @@ def segments(model: Model, texts: pa.Array, within: float | None = None) -> Segm
     cuts = lines if within is None else np.unique(np.concatenate([lines, _word_starts(cps)]))
     doc = np.searchsorted(offsets, cuts[:-1], side="right") - 1
     scores, words = line_scores(model, *canonical(cps, cuts, model.alike), whole_lines=within is None)
-    has = words > 0
+    # Units that tell nothing belong to their neighbours like those without letters, unless their row has no others.
+    told = np.zeros(len(offsets), bool)
+    told[doc[words > 0]] = True
+    has = (words > 0) | (words < 0) & ~told[doc]
+    words = np.abs(words)
     scores, words, doc, start, end = scores[has], words[has], doc[has], cuts[:-1][has], cuts[1:][has]
     line = np.searchsorted(lines, start, side="right")
     same = np.concatenate(([False], line[1:] == line[:-1]))

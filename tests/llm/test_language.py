@@ -64,6 +64,14 @@ def test_two_languages_in_one_line(data):
     assert [model.langs[c] for c in segments(model, plain(pa.array(["본 사업은 RFP 절차에 따라 AI 기반 시스템을 구축한다."])), WITHIN).code] == ["ko"]
 
 
+def test_a_line_that_tells_nothing_belongs_to_its_neighbours(data):
+    model = fit(samples(data))
+    ko = "예산 집행 내역을 점검하고 기록한다."
+    s = segments(model, plain(pa.array([f"{ko}\n\n14,566 / 75.8 \U00020bb7\U0002123d\n{ko}", f"{ko} \U00020bb7", "\U00020bb7", f"{ko}\nשלום"])))
+    assert [(int(r), model.langs[c]) for r, c in zip(s.row, s.code, strict=True) if r != 2] == [(0, "ko"), (1, "ko"), (3, "ko")]
+    assert [model.langs[c] for c in s.code[s.row == 2]][0] in ("ja", "zh")
+
+
 def test_languages_come_from_the_samples(data):
     more = [("ru", "Поставщик обязан представить все документы в срок"), ("ru", "Настоящий договор вступает в силу со дня подписания"), ("it", "Il fornitore deve consegnare tutti i documenti entro la fine del mese"), ("it", "Il presente contratto entra in vigore dalla data della firma")]
     model = fit([x for x in samples(data) if x[0] in ("ko", "en")] + more * 3)
