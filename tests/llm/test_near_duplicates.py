@@ -5,7 +5,8 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from docmill.llm.columns import rewritten, without_space
-from docmill.llm.near_duplicates import CHECKED, MISS, all_pairs, groups, near_duplicates, plan
+from docmill.llm import near_duplicates as m
+from docmill.llm.near_duplicates import MISS, all_pairs, groups, missed, near_duplicates, plan
 from docmill.llm.queries import p2_found
 
 
@@ -20,9 +21,9 @@ def brute(rows, threshold):
     }
 
 
-def found(spark, rows, threshold):
+def found(spark, rows, threshold, exact=False):
     df = spark.createDataFrame([(i, t, "clash") for i, t in rows], "id bigint, text string, t string")
-    got = [(r.id_a, r.id_b) for r in all_pairs(near_duplicates({"x": (df, "id", "text")}, threshold)).collect()]
+    got = [(r.id_a, r.id_b) for r in all_pairs(near_duplicates({"x": (df, "id", "text")}, threshold, exact)).collect()]
     assert len(got) == len(set(got))
     return set(got)
 
@@ -42,7 +43,32 @@ def test_against_brute_force(spark):
     rows = [(i, edited(rng.choice(texts), rng.randrange(0, 12), rng)) for i in range(120)]
     rows += [(200, None), (201, ""), (202, " "), (203, "가나"), (204, "가 나"), (205, "다라"), (206, rows[0][1]), (207, rows[0][1])]
     for threshold in (0.7, 0.8):
-        assert found(spark, rows, threshold) == brute(rows, threshold)
+        assert found(spark, rows, threshold) == found(spark, rows, threshold, exact=True) == brute(rows, threshold)
+
+
+def test_exact_at_low_threshold(spark):
+    rng = random.Random(12)
+    rows = [(i, "".join(rng.choices("ab", k=rng.randrange(3, 30)))) for i in range(150)]
+    for threshold in (0.3, 0.5, 1.0):
+        assert found(spark, rows, threshold, exact=True) == brute(rows, threshold)
+
+
+def test_hot_lists_are_salted(spark, monkeypatch):
+    """A family of texts that all share most of their runs; the lists are found by the sample and spread."""
+    rng = random.Random(6)
+    base = " ".join(rng.choices(["가나다", "라마바", "사아자", "차카타", "파하고"], k=80))
+    rows = [(i, f"{base} {''.join(rng.choices('거너더러머버', k=8))}") for i in range(300)] + [(1000 + i, "".join(rng.choices("구누두루무부", k=60))) for i in range(50)]
+    want = brute(rows, 0.7)
+    assert len(want) > 40_000 and found(spark, rows, 0.7) == want
+    monkeypatch.setattr(m, "HOT_SAMPLE", 0)  # nothing is found to be hot
+    assert found(spark, rows, 0.7) == want
+
+
+def test_an_id_with_several_texts(spark):
+    a, b = "첫째 글은 이렇게 길게 쓰여 있어야 한다 " * 3, "둘째 글은 저렇게 다르게 쓰여 있어야만 한다 " * 3
+    assert found(spark, [(1, a), (2, a), (2, b), (3, b + "끝")], 0.7) == {(1, 2), (2, 3)}
+    assert found(spark, [(1, a), (1, b), (2, a), (3, b + "끝")], 0.7) == {(1, 2), (1, 3)}
+    assert found(spark, [(1, a), (1, b), (2, a), (2, b + "끝")], 0.7) == {(1, 2)}
 
 
 def test_many_copies_and_empty(spark):
@@ -54,13 +80,10 @@ def test_many_copies_and_empty(spark):
 
 
 def test_plan_keeps_its_miss():
-    from math import comb
-
     for threshold in (0.7, 0.8, 0.9):
         for n in (0, 10, 10**6, 10**9, 10**12):
             p = plan(threshold, n)
-            kept = sum(comb(CHECKED, k) * threshold**k * (1 - threshold) ** (CHECKED - k) for k in range(p.least, CHECKED + 1))
-            assert (1 - threshold**p.width * kept) ** p.runs <= MISS * 1.0001
+            assert missed(p, threshold) <= MISS and p.minimum == p.least * p.width >= 8
 
 
 def test_query_against_brute_force(spark, data):
