@@ -56,6 +56,12 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
 
 
+@F.pandas_udf(StringType())
+def folded(text: pd.Series) -> pd.Series:
+    """Compatibility form without case; Spark has no function for it."""
+    return text.map(lambda x: x if x is None else unicodedata.normalize("NFKC", x).casefold())
+
+
 def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -70,14 +76,22 @@ def collapsed(text: str | Column) -> Column:
     return F.regexp_replace(strip(text), f"{SPACE}+", " ")
 
 
+def composed(text: str | Column) -> Column:
+    """Unicode's composed form; only texts with combining characters leave the JVM for it."""
+    text = _c(text)
+    return F.coalesce(nfc(F.when(text.rlike("[\u0300-\u036f\u1100-\u11ff\u3099\u309a]"), text)), text)
+
+
 def compact(text: str | Column) -> Column:
-    """Lower case, letters a-z, digits and Hangul syllables only."""
-    return F.regexp_replace(F.lower(_c(text)), "[^0-9a-z가-힣]+", "")
+    """In composed form and lower case, letters a-z, digits and Hangul syllables only."""
+    return F.regexp_replace(F.lower(composed(text)), "[^0-9a-z가-힣]+", "")
 
 
 def stemmed(token: Column) -> Column:
     """A token in lower case, a Hangul one without the particles at its end (two syllables stay)."""
-    return F.regexp_replace(F.lower(token), PARTICLE_TAIL, "$1")
+    # Few tokens end like a particle; only they meet the pattern.
+    ends = F.substring(token, -1, 1).isin(*{p[-1] for p in PARTICLES}) & (F.length(token) > 2)
+    return F.when(ends, F.regexp_replace(F.lower(token), PARTICLE_TAIL, "$1")).otherwise(F.lower(token))
 
 
 def tokens(text: str | Column, stopwords: tuple[str, ...] | list[str] = STOPWORDS) -> Column:

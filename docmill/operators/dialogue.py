@@ -28,9 +28,9 @@ def resolved_references(df: DataFrame, by: list[str], order: list[str], text: st
 def chain_depth(df: DataFrame, key: str, parent: str, longest: int = 16) -> DataFrame:
     """(key, depth): steps from a row to the end of its chain of parents, at most `longest`; a parent that isn't there ends it.
 
-    Pointers are doubled, so a chain of 16 takes four joins; rows on a cycle come out at `longest`.
+    A key that repeats with several parents has the smallest. Pointers are doubled, so a chain of 16 takes four joins; rows on a cycle come out at `longest`.
     """
-    rows = df.select(F.col(key).alias("k"), F.col(parent).alias("p")).dropDuplicates(["k"])
+    rows = df.select(F.col(key).alias("k"), F.col(parent).alias("p")).groupBy("k").agg(F.min("p").alias("p"))
     known = rows.select(F.col("k").alias("pk"))
     links = rows.join(known, F.col("p") == F.col("pk"), "left").select("k", F.col("pk").alias("to"), F.when(F.col("pk").isNotNull(), 1).otherwise(0).alias("d"))
     links = staged(links, "chain")

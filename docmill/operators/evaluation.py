@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import PARTICLES, TOKEN, compact, folded, strip
+
 # Categories of failures, in the order in which they are looked for.
 FAILURES = (
     "verifier_false_negative",
@@ -100,3 +104,178 @@ def token_alignment(claim_tokens: Column, evidence_tokens: Column) -> Column:
 def gauge(value: Column, floor: Column) -> Column:
     """(value - floor) / (1 - floor); null where the floor is 1."""
     return F.try_divide(value - floor, 1 - floor)
+
+
+def retry_effect(cases: DataFrame, by: list[str], accuracy: str, retries: str, verified: str) -> DataFrame:
+    """(by..., with_retry, without_retry, recovery, residual, resolution, lift): what further attempts brought.
+
+    Of cases with an accuracy: recovery is its mean over those retried, residual what is left to 1, resolution the share of them
+    whose last attempt was verified, lift the distance to the mean of those not retried. Null where no case was retried.
+    """
+    again = F.coalesce(F.col(retries), F.lit(0)) > 0
+    mean = lambda x, c: F.avg(F.when(c, x))
+    a = F.col(accuracy).cast("double")
+    out = cases.where(a.isNotNull()).groupBy(*by).agg(
+        F.count_if(again).alias("with_retry"), F.count_if(~again).alias("without_retry"), mean(a, again).alias("_r"), mean(a, ~again).alias("_b"),
+        F.round(mean(F.col(verified).cast("double"), again), 6).alias("resolution"),
+    )
+    r = F.col("_r")
+    return out.select(*by, "with_retry", "without_retry", F.round(r, 6).alias("recovery"), F.round(1 - r, 6).alias("residual"), "resolution", F.round(r - F.col("_b"), 6).alias("lift"))
+
+
+def retry_precision(run: DataFrame, base: DataFrame, case: str, accuracy: str, retries: str) -> DataFrame:
+    """(triggered, warranted, needless, precision): retries of one run by whether the other, without any, was wrong there."""
+    kept = run.where((F.coalesce(F.col(retries), F.lit(0)) > 0) & F.col(accuracy).isNotNull()).select(case)
+    both = kept.join(base.where(F.col(accuracy).isNotNull()).select(case, F.col(accuracy).alias("_a")), case)
+    wrong = F.count_if(F.col("_a") < 1.0)
+    return both.agg(F.count("*").alias("triggered"), wrong.alias("warranted"), (F.count("*") - wrong).alias("needless"), F.round(F.try_divide(wrong, F.count("*")), 6).alias("precision"))
+
+
+def attempts(cases: DataFrame, by: list[str], retries: str, verified: str) -> DataFrame:
+    """(by..., attempts, n, verify_rate): cases by how many attempts they took (1, 2, 3+) and how many were verified."""
+    kind = F.when(F.coalesce(F.col(retries), F.lit(0)) == 0, "1").when(F.col(retries) == 1, "2").otherwise("3+")
+    return cases.groupBy(*by, kind.alias("attempts")).agg(F.count("*").alias("n"), F.round(F.avg(F.col(verified).cast("double")), 6).alias("verify_rate"))
+
+
+def gold_chunks(cases: DataFrame, case: str, docs: str, terms: str, chunks: DataFrame, chunk: str, doc: str, text: str, given: str | None = None) -> DataFrame:
+    """(case, chunk): chunks of a case's documents whose text holds one of its terms; the list in `given` instead, where there is one.
+
+    Cases without documents or terms have none. Terms count as they are written; empty ones do not.
+    """
+    named = F.size(F.coalesce(F.col(given), F.array().cast("array<string>"))) > 0 if given else F.lit(False)
+    wanted = cases.where(~named).select(case, F.explode(F.array_distinct(docs)).alias("_doc"), F.filter(terms, lambda t: t != "").alias("_terms")).where(F.size("_terms") > 0)
+    met = wanted.join(chunks.select(F.col(chunk).alias("_chunk"), F.col(doc).alias("_doc"), F.col(text).alias("_text")), "_doc")
+    found = met.where(F.exists("_terms", lambda t: F.col("_text").contains(t))).select(case, F.col("_chunk").alias(chunk))
+    if given:
+        found = found.unionAll(cases.where(named).select(case, F.explode(given).alias(chunk)))
+    return found.distinct()
+
+
+def cell_scores(golden: DataFrame, extracted: DataFrame, table: list[str], row: str, column: str, text: str, row_span: str, column_span: str, least: float = 0.9, form: Callable[[Column], Column] = folded) -> DataFrame:
+    """(table..., tp, fp, fn, precision, recall, f1, merged, preserved): cells of tables that both sides have, by their place.
+
+    A cell is right if its text is at least so similar to that of the golden cell in its place, both in `form` (compatibility form without case). merged counts golden cells over
+    several rows or columns, preserved those whose spans came out the same. Of several cells in one place the last text counts.
+    """
+    at = [*table, row, column]
+
+    def cells(df: DataFrame, name: str) -> DataFrame:
+        one = df.groupBy(*at).agg(F.max(F.struct(text, row_span, column_span)).alias("_cell"))
+        spans = [F.coalesce(F.col(f"_cell.{c}"), F.lit(1)).alias(f"{name}_{o}") for c, o in ((row_span, "rows"), (column_span, "columns"))]
+        return one.select(*at, F.col(f"_cell.{text}").alias(f"{name}_text"), *spans, F.lit(1).alias(name))
+
+    both = cells(golden, "_g").join(cells(extracted, "_e"), at, "full_outer")
+    text_of = lambda c: form(F.coalesce(c, F.lit("")))
+    both = both.withColumn("_near", text_similarity(text_of("_g_text"), text_of("_e_text")) >= least)
+    right = F.col("_g").isNotNull() & F.col("_e").isNotNull() & F.col("_near")
+    merged = (F.col("_g_rows") > 1) | (F.col("_g_columns") > 1)
+    kept = merged & (F.col("_g_rows") == F.col("_e_rows")) & (F.col("_g_columns") == F.col("_e_columns"))
+    sums = both.groupBy(*table).agg(
+        F.count_if(right).alias("tp"), F.count("_g").alias("_g"), F.count("_e").alias("_e"), F.count_if(merged).alias("merged"), F.count_if(kept).alias("preserved"),
+    ).where("_g > 0 and _e > 0")
+    sums = sums.withColumn("fp", F.col("_e") - F.col("tp")).withColumn("fn", F.col("_g") - F.col("tp"))
+    return sums.select(*table, "tp", "fp", "fn", *precision_recall("tp", "fp", "fn"), "merged", "preserved")
+
+
+def precision_recall(tp: str, fp: str, fn: str, places: int = 4) -> list[Column]:
+    """precision, recall and f1 of counts; 1 where there was nothing to find and nothing was found."""
+    p = F.coalesce(F.try_divide(F.col(tp), F.col(tp) + F.col(fp)), F.when(F.col(fn) == 0, 1.0).otherwise(0.0))
+    r = F.coalesce(F.try_divide(F.col(tp), F.col(tp) + F.col(fn)), F.when(F.col(fp) == 0, 1.0).otherwise(0.0))
+    f1 = F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
+    return [F.round(p, places).alias("precision"), F.round(r, places).alias("recall"), F.round(f1, places).alias("f1")]
+
+
+def key_scores(golden: DataFrame, extracted: DataFrame, key: list[str]) -> DataFrame:
+    """(tp, fp, fn, precision, recall, f1) of the keys of two tables, each counted once."""
+    both = golden.select(*key).distinct().withColumn("g", F.lit(1)).join(extracted.select(*key).distinct().withColumn("e", F.lit(1)), key, "full_outer")
+    tp = F.count_if(F.col("g").isNotNull() & F.col("e").isNotNull()).alias("tp")
+    sums = both.agg(tp, F.count_if(F.col("g").isNull()).alias("fp"), F.count_if(F.col("e").isNull()).alias("fn"))
+    return sums.select("tp", "fp", "fn", *precision_recall("tp", "fp", "fn"))
+
+
+def compared_cells(left: DataFrame, right: DataFrame, table: list[str], row: str, column: str, text: str, samples: int = 50) -> DataFrame:
+    """(table..., cells, equal, only_left, only_right, equal_share, differing): two readings of the same tables; `differing` the first places."""
+    at = [*table, row, column]
+    side = lambda df, name: df.groupBy(*at).agg(F.max(text).alias(name))
+    both = side(left.withColumn(text, F.coalesce(text, F.lit(""))), "_l").join(side(right.withColumn(text, F.coalesce(text, F.lit(""))), "_r"), at, "full_outer")
+    differs = ~F.col("_l").eqNullSafe(F.col("_r"))
+    place = F.concat_ws(":", F.col(row).cast("string"), F.col(column).cast("string"))
+    w = Window.partitionBy(*table).orderBy(differs.desc(), row, column)
+    both = both.withColumn("_k", F.row_number().over(w))
+    some = F.array_sort(F.collect_list(F.when(differs & (F.col("_k") <= samples), F.struct(F.col("_k").alias("k"), place.alias("p")))))  # at most `samples`
+    out = both.groupBy(*table).agg(F.count("*").alias("cells"), F.count_if(~differs).alias("equal"), F.count_if(F.col("_r").isNull()).alias("only_left"), F.count_if(F.col("_l").isNull()).alias("only_right"), some.alias("_s"))
+    return out.select(*table, "cells", "equal", "only_left", "only_right", F.round(F.col("equal") / F.col("cells"), 6).alias("equal_share"), F.transform("_s", lambda x: x["p"]).alias("differing"))
+
+
+def claim_support(claim: Column, citation: Column, least: float = 0.5) -> Column:
+    """Whether a text cited for a claim holds it, or at least half of its words of two characters or more; false for blank texts."""
+    ours, theirs = compact(claim), compact(citation)
+    words = alignment_words(claim)
+    share = F.size(F.filter(words, lambda w: F.array_contains(alignment_words(citation), w))) / F.size(words)
+    within = (ours != "") & theirs.contains(ours)
+    return F.coalesce((strip(claim) != "") & (strip(citation) != "") & (within | ((F.size(words) > 0) & (share >= least))), F.lit(False))
+
+
+def alignment_words(x: Column) -> Column:
+    """Words in lower case, longer than one character and no particles, in order; repeats stay."""
+    return F.filter(F.regexp_extract_all(F.lower(x), F.lit(TOKEN.lower().replace("a-za-z", "a-z")), F.lit(0)), lambda w: (F.length(w) > 1) & ~w.isin(*PARTICLES))
+
+
+def claim_alignment(claims: DataFrame, case: str, target: str, claim: str, cited: str, evidence: DataFrame, chunk: str, text: str, doc: str, specs: DataFrame | None = None) -> DataFrame:
+    """(case, checked, aligned, alignment): how many claims of a case the text they cite supports.
+
+    claims: one row a claim and cited chunk (null cites nothing). A claim without a citation, whose chunks are not in the case's
+    evidence, or whose text they do not support, is not aligned; so are claims and missing targets against `specs` (case, target,
+    expected_docs): a claim for a target must cite one of its documents, and every target must have a claim.
+    """
+    named = evidence.select(F.col(case).alias("_case"), F.col(chunk).alias("_chunk"), F.col(text).alias("_text"), F.col(doc).alias("_doc"))
+    met = claims.join(named, (F.col(case) == F.col("_case")) & (F.col(cited) == F.col("_chunk")), "left")
+    # A claim cites few chunks.
+    joined = met.groupBy(case, target, claim).agg(F.array_sort(F.collect_list(F.when(F.col("_chunk").isNotNull(), F.struct("_chunk", F.coalesce("_text", F.lit("")).alias("_text"), "_doc")))).alias("_c"))
+    cited_text = F.array_join(F.transform("_c", lambda c: c["_text"]), " ")
+    scored = joined.withColumn("_ok", (F.size("_c") > 0) & claim_support(F.col(claim), cited_text))
+    if specs is not None:
+        wanted = specs.select(F.col(case).alias("_case"), F.col(target).alias("_target"), "expected_docs")
+        scored = scored.join(wanted, (F.col(case) == F.col("_case")) & (F.col(target) == F.col("_target")), "left")
+        right = F.col("expected_docs").isNull() | (F.size("expected_docs") == 0) | F.arrays_overlap("expected_docs", F.transform("_c", lambda c: c["_doc"]))
+        scored = scored.withColumn("_ok", F.col("_ok") & F.coalesce(right, F.lit(False)))
+        missing = specs.join(claims.select(case, target).distinct(), [case, target], "left_anti").select(case, F.lit(False).alias("_ok"))
+        scored = scored.select(case, "_ok").unionAll(missing)
+    out = scored.groupBy(case).agg(F.count("*").alias("checked"), F.count_if("_ok").alias("aligned"))
+    return out.withColumn("alignment", F.round(F.col("aligned") / F.col("checked"), 6))
+
+
+def row_score(must: Column, text: Column, aliases: Column, expected: Column, given: Column, abstained: Column, should_abstain: Column) -> list[Column]:
+    """must_recall, alias_hit, abstention_right, doc_hit, precision and recall of documents, passed: the scores of one answer.
+
+    Shares of nothing are null. An answer passes if it abstains where it should, and else if it has all that it must.
+    """
+    has = lambda t: F.lower(text).contains(F.lower(t))
+    recall = F.when(F.size(must) > 0, F.size(F.filter(must, has)) / F.size(must))
+    alias = F.when(F.size(aliases) > 0, F.exists(aliases, has))
+    common = F.size(F.array_intersect(expected, given))
+    precision = F.when(F.size(given) > 0, common / F.size(F.array_distinct(given)))
+    found = F.when(F.size(expected) > 0, common / F.size(F.array_distinct(expected)))
+    passed = F.when(should_abstain, abstained).otherwise(~abstained & (F.coalesce(recall, F.lit(1.0)) == 1.0))
+    return [
+        F.round(recall, 6).alias("must_recall"), alias.alias("alias_hit"), (abstained == should_abstain).alias("abstention_right"), F.when(F.size(expected) > 0, common > 0).alias("doc_hit"),
+        F.round(precision, 6).alias("precision"), F.round(found, 6).alias("recall"), passed.alias("passed"),
+    ]
+
+
+def disagreements(df: DataFrame, case: str, judge: str, first: str, second: str, status: str) -> DataFrame:
+    """(first_status, second_status, n, share): how two judges differ on the cases that both have; share of all these cases."""
+    own = lambda name, out: df.where(F.col(judge) == name).select(case, F.col(status).alias(out))
+    both = own(first, "first_status").join(own(second, "second_status"), case)
+    counts = both.groupBy("first_status", "second_status").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("_t"))
+    out = counts.crossJoin(F.broadcast(total)).where("first_status != second_status")  # one row of the total
+    return out.select("first_status", "second_status", "n", F.round(F.col("n") / F.col("_t"), 6).alias("share"))
+
+
+def has_error(*metrics: Column) -> Column:
+    """Whether any of the metrics that are there is under 1."""
+    found = F.lit(False)
+    for m in metrics:
+        found = found | F.coalesce(m < 1.0, F.lit(False))
+    return found

@@ -60,15 +60,22 @@ def checked(df: DataFrame, doc_id: str, path: str, declared: str, arrival: list[
 def suffixed_ids(df: DataFrame, doc_id: str, arrival: list[str], out: str = "unique_id") -> DataFrame:
     """Adds an id that no other row has: repeats get -2, -3 ... in order of arrival, past ids that are taken already.
 
-    A repeat's own number is raised by the taken ids of its base that are no higher, which is found by a join on the base.
+    The k-th free number of a base lies between two numbers that are taken: each of them moves the repeats beyond it by one, so
+    taken number m, the i-th of its base, is passed by all repeats from m - i + 1 on. Repeats are joined to the last that they pass.
     """
     n = F.row_number().over(Window.partitionBy(doc_id).orderBy(*arrival))
     rows = df.withColumn("_n", n)
-    taken = df.select(F.regexp_extract(doc_id, "^(.*)-([0-9]+)$", 1).alias("_base"), F.regexp_extract(doc_id, "^(.*)-([0-9]+)$", 2).try_cast("int").alias("_m"))
-    taken = taken.where("_m >= 2").distinct().groupBy("_base").agg(F.array_sort(F.collect_set("_m")).alias("_taken"))
-    rows = rows.join(taken, F.col(doc_id) == F.col("_base"), "left").drop("_base")
-    free = F.aggregate(F.coalesce(F.col("_taken"), F.array().cast("array<int>")), F.col("_n"), lambda k, m: F.when(m <= k, k + 1).otherwise(k))
-    return rows.withColumn(out, F.when(F.col("_n") == 1, F.col(doc_id)).otherwise(F.concat(doc_id, F.lit("-"), free.cast("string")))).drop("_n", "_taken")
+    again = rows.where("_n > 1").groupBy(F.col(doc_id).alias("_base")).agg(F.max("_n").alias("_most"))
+    taken = df.select(F.regexp_extract(doc_id, "^(.*)-([0-9]+)$", 1).alias("_base"), F.regexp_extract(doc_id, "^(.*)-([0-9]+)$", 2).alias("_s"))
+    taken = taken.withColumn("_m", F.col("_s").try_cast("int")).where("_m >= 2 and _s = string(_m)").select("_base", "_m").distinct()
+    passed = taken.join(again, "_base").withColumn("_i", F.row_number().over(Window.partitionBy("_base").orderBy("_m")))
+    passed = passed.withColumn("_from", F.col("_m") - F.col("_i") + 1).where("_from <= _most").groupBy("_base", "_from").agg(F.max("_i").alias("_i"))
+    w = Window.partitionBy(doc_id).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    marks = passed.select(F.col("_base").alias(doc_id), F.col("_from").alias("_at"), F.lit(0).alias("_kind"), "_i")
+    numbered = rows.withColumn("_at", F.col("_n")).withColumn("_kind", F.lit(1)).withColumn("_i", F.lit(None).cast("int"))
+    both = numbered.unionByName(marks, allowMissingColumns=True).withColumn("_i", F.last("_i", ignorenulls=True).over(w)).where("_kind = 1")
+    free = F.col("_n") + F.coalesce("_i", F.lit(0))
+    return both.withColumn(out, F.when(F.col("_n") == 1, F.col(doc_id)).otherwise(F.concat(doc_id, F.lit("-"), free.cast("string")))).drop("_n", "_i", "_at", "_kind")
 
 
 def ingestion_report(df: DataFrame, by: list[str], example: str, examples: int = 3) -> DataFrame:
@@ -90,13 +97,56 @@ def resolved_files(rows: DataFrame, name: str, files: DataFrame, path: str) -> D
     """Rows with the path of their file: by its exact name, else by an equal name in composed form, the smallest path first."""
     base = F.regexp_extract(path, "([^/]+)$", 1)
     listed = files.select(F.col(path).alias("_path"), base.alias("_file")).withColumn("_key", nfc("_file"))
-    keyed = rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("_name_key", nfc(name))
-    met = keyed.select("_row", F.col(name).alias("_name"), "_name_key").join(listed, F.col("_name_key") == F.col("_key"))
-    best = met.groupBy("_row").agg(F.min(F.struct((F.col("_file") != F.col("_name")).alias("_other"), "_path")).alias("_b"))
-    return keyed.join(best, "_row", "left").select(*rows.columns, F.col("_b._path").alias("source_file"))
+    names = rows.select(F.col(name).alias("_name")).where("_name is not null").distinct().withColumn("_key", nfc("_name"))
+    met = names.join(listed, "_key")
+    best = met.groupBy("_name").agg(F.min(F.struct((F.col("_file") != F.col("_name")).alias("_other"), "_path")).alias("_b"))
+    return rows.join(best, F.col(name) == F.col("_name"), "left").select(*(rows[c] for c in rows.columns), F.col("_b._path").alias("source_file"))
 
 
 def new_rows(known: DataFrame, incoming: DataFrame, key: str, approved: Column) -> DataFrame:
     """The known rows and those approved rows whose key is new; a second time adds nothing."""
     fresh = incoming.where(approved).join(known.select(key), key, "left_anti").dropDuplicates([key])
     return known.unionByName(fresh, allowMissingColumns=True)
+
+
+def looked_up(rows: DataFrame, key: str, known: DataFrame, known_key: str, value: str, otherwise: Column) -> DataFrame:
+    """Rows with the value that is known for their key, else for the key that `otherwise` makes of it; null without either."""
+    first = known.select(F.col(known_key).alias("_k1"), F.col(value).alias("_v1"))
+    second = known.select(F.col(known_key).alias("_k2"), F.col(value).alias("_v2"))
+    found = rows.withColumn("_other", otherwise).join(first, F.col(key) == F.col("_k1"), "left").join(second, F.col("_other") == F.col("_k2"), "left")
+    return found.select(*(rows[c] for c in rows.columns), F.coalesce("_v1", "_v2").alias(value))
+
+
+def uncovered_first(rows: DataFrame, covered: DataFrame, key: str, order: str, n: int) -> DataFrame:
+    """The first n rows, with covered and place: those whose key isn't covered in their order, then the others."""
+    known = covered.select(F.col(key).alias("_k")).distinct()
+    marked = rows.join(known, F.col(key) == F.col("_k"), "left").withColumn("covered", F.col("_k").isNotNull()).drop("_k")
+    first = marked.orderBy("covered", order).limit(n)
+    return first.withColumn("place", F.row_number().over(Window.orderBy("covered", order)))  # n rows
+
+
+def hash_split(text: str | Column, share: float, names: tuple[str, str] = ("train", "val")) -> Column:
+    """The side that a text falls on by its hash alone: `share` of all texts on the second."""
+    at = F.conv(F.substring(F.sha1(text), 1, 8), 16, 10).cast("bigint") / F.lit(float(1 << 32))
+    return F.when(at < share, names[1]).otherwise(names[0])
+
+
+def sampled(df: DataFrame, key: str, n: int, seed: int = 7) -> DataFrame:
+    """n rows that depend on their keys and the seed alone, in a fixed order."""
+    return df.orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256), key).limit(n)
+
+
+def duplicate_groups(df: DataFrame, key: str, row: str, examples: int = 20) -> DataFrame:
+    """(key, n, rows): the keys that several rows have, with the first few of their row numbers."""
+    w = Window.partitionBy(key).orderBy(row)
+    several = df.where(F.col(key).isNotNull()).withColumn("_n", F.row_number().over(w))
+    out = several.groupBy(key).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("_n") <= examples, F.col(row)))).alias("rows"))
+    return out.where("n > 1")
+
+
+def frequent_and_rest(df: DataFrame, by: str, n: int, rest: str = "others") -> DataFrame:
+    """(by, n): how often each of the n most frequent values comes, ties by value, and all others as one; null counts as a value."""
+    counts = df.groupBy(F.coalesce(by, F.lit("none")).alias(by)).agg(F.count("*").alias("n"))
+    first = counts.orderBy(F.col("n").desc(), by).limit(n).withColumn("_k", F.col(by))
+    marked = counts.join(F.broadcast(first.select(by, "_k")), by, "left")  # n rows
+    return marked.groupBy(F.coalesce("_k", F.lit(rest)).alias(by)).agg(F.sum("n").alias("n"))

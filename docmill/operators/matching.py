@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions.text import compact, nfc, strip, tokens
+from ..functions.text import compact, composed, nfc, strip, tokens
 
 STRICT, REDUCED = 0.90, 0.70
 #: Characters of a compact value that lead from a query to it.
@@ -23,7 +23,7 @@ def metadata_targets(docs: DataFrame, fields: tuple[str, ...] = ("agency", "proj
     """(field, value, compact, tokens): distinct values of the metadata columns; blank ones go."""
     rows = docs.select(*(F.col(f).cast("string") for f in fields)).unpivot([], list(fields), "field", "value")
     rows = rows.where("value is not null").dropDuplicates(["field", "value"])
-    return rows.withColumn("compact", compact("value")).withColumn("tokens", tokens("value")).where("compact != ''")
+    return rows.withColumn("compact", compact("value")).withColumn("tokens", tokens(composed("value"))).where("compact != ''")
 
 
 def _grams(text: F.Column) -> F.Column:
@@ -38,7 +38,7 @@ def metadata_matches(queries: DataFrame, query: str, text: str, targets: DataFra
     words, .70 + .19 of their share, at most .89. No query meets every target: the first KEY characters of a value lead from
     the queries' stretches to it, common words by equality; values shorter than KEY characters are led to by all of theirs.
     """
-    q = queries.where(F.col(text).isNotNull()).select(F.col(query).alias("q"), compact(text).alias("qc"), tokens(text).alias("qt"))
+    q = queries.where(F.col(text).isNotNull()).select(F.col(query).alias("q"), compact(text).alias("qc"), tokens(composed(text)).alias("qt"))
     t = targets.select("field", "value", "compact", F.array_distinct("tokens").alias("tokens"))
     long = t.where(F.length("compact") >= KEY).withColumn("key", F.substring("compact", 1, KEY))
     contains = (
@@ -145,7 +145,7 @@ def fuzzy_matches(queries: DataFrame, query: str, text: str, targets: DataFrame,
     wholes = wholes.withColumn("size", F.explode(F.sequence(F.greatest(F.col("words") - 1, F.lit(1)), F.col("words") + 1)))
     bounds = wholes.groupBy("size").agg(F.min(need(F.col("a"))).alias("least"), F.ceil(F.max("a") / share + 1e-9).alias("most"))
 
-    q = queries.select(F.col(query).alias("q"), tokens(text).alias("qt")).where(F.size("qt") > 0)
+    q = queries.select(F.col(query).alias("q"), tokens(composed(text)).alias("qt")).where(F.size("qt") > 0)
     at = F.sequence(F.lit(1), F.size("qt") - F.col("size") + 1)
     said = q.crossJoin(F.broadcast(bounds)).where(F.size("qt") >= F.col("size"))
     said = said.select("q", "size", "least", "most", F.explode(F.transform(at, lambda i: F.array_join(F.slice("qt", i, F.col("size")), ""))).alias("phrase"))
@@ -175,15 +175,18 @@ def ambiguous(matches: DataFrame, query: str, within: float = 0.05) -> DataFrame
     return near.groupBy(query, "best").agg(F.count("*").alias("candidates")).where("candidates > 1")
 
 
-def longest_prefix(df: DataFrame, text: str, prices: DataFrame, prefix: str) -> DataFrame:
+def longest_prefix(df: DataFrame, text: str | F.Column, prices: DataFrame, prefix: str) -> DataFrame:
     """Rows with the columns of the longest prefix that their text begins with; null without one.
 
-    By equality on every leading part of the text that is as long as some prefix, so no row meets every prefix.
+    By equality on every leading part of the text that is as long as some prefix, so no row meets every prefix; a text that many
+    rows share is looked up once. A prefix that repeats stands once, with the greatest of its other columns.
     """
-    lengths = prices.agg(F.collect_set(F.length(prefix)).alias("_n"))
-    df = df.withColumn("_row", F.monotonically_increasing_id())
-    there = F.filter("_n", lambda n: n <= F.length(text))
-    parts = F.transform(there, lambda n: F.substring(text, F.lit(1), n))
-    hits = df.crossJoin(F.broadcast(lengths)).select("_row", F.explode(parts).alias("_p")).join(prices, F.col("_p") == F.col(prefix))
-    best = hits.groupBy("_row").agg(F.max_by(F.struct(*prices.columns), F.length(prefix)).alias("_b"))
-    return df.join(best, "_row", "left").select(*[c for c in df.columns if c != "_row"], *(F.col(f"_b.{c}").alias(c) for c in prices.columns))
+    text = F.col(text) if isinstance(text, str) else text
+    others = [c for c in prices.columns if c != prefix]
+    known = prices.where(F.col(prefix).isNotNull()).groupBy(F.col(prefix).alias("_p")).agg(F.max(F.struct(prefix, *others)).alias("_b"))
+    lengths = known.agg(F.collect_set(F.length("_p")).alias("_n"))
+    texts = df.select(text.alias("_t")).where("_t is not null").distinct()
+    parts = F.transform(F.filter("_n", lambda n: n <= F.length("_t")), lambda n: F.substring("_t", F.lit(1), n))
+    hits = texts.crossJoin(F.broadcast(lengths)).select("_t", F.explode(parts).alias("_p")).join(known, "_p")  # one row of lengths
+    best = hits.groupBy("_t").agg(F.max_by("_b", F.length("_p")).alias("_b"))
+    return df.withColumn("_t", text).join(best, "_t", "left").select(*(f"`{c}`" for c in df.columns), *(F.col("_b")[c].alias(c) for c in prices.columns))

@@ -7,28 +7,33 @@ from pyspark.sql import functions as F
 
 from ..functions.text import char_grams, collapsed, ends_mid_sentence, jaccard
 from ..plans.staging import BROADCAST_ROWS, staged
+from .statistics import percentiles
 
 NEAR_EMPTY = 50
+# Fixed value: what a converter leaves where a table stood within a table.
+NESTED_TABLE = r"\[중첩 테이블 #[0-9]+\]"
 
 
 def chunk_health(df: DataFrame, by: list[str], text: str, doc: str) -> DataFrame:
-    """(by..., chunks, documents, length percentiles, empty and near-empty counts, share of cut sentences)."""
+    """(by..., chunks, documents, length percentiles, empty and near-empty counts, share of cut sentences, marks of nested tables)."""
     # Numbers first: the distinct count doubles the rows, which should not hold texts then.
     length = F.coalesce(F.length(text), F.lit(0))
     cut = F.when(length > 0, ends_mid_sentence(text).cast("double"))
-    rows = df.select(*by, F.col(doc).alias("_doc"), length.alias("_length"), cut.alias("_cut"))
-    length, cut = F.col("_length"), F.avg("_cut")
-    return rows.groupBy(*by).agg(
+    rows = df.select(*by, F.col(doc).alias("_doc"), length.alias("_length"), cut.alias("_cut"), F.coalesce(F.regexp_count(text, F.lit(NESTED_TABLE)), F.lit(0)).alias("_nested"))
+    rows = staged(rows, "lengths")
+    length = F.col("_length")
+    counted = rows.groupBy(*by).agg(
         F.count("*").alias("chunks"),
         F.count_distinct("_doc").alias("documents"),
-        F.percentile(length, F.lit(0.5)).alias("p50"),
-        F.percentile(length, F.lit(0.95)).alias("p95"),
         F.max(length).alias("longest"),
         F.round(F.avg(length), 6).alias("mean"),
         F.count_if(length == 0).alias("empty"),
         F.count_if((length > 0) & (length < NEAR_EMPTY)).alias("near_empty"),
-        F.round(cut, 6).alias("mid_sentence_share"),
+        F.round(F.avg("_cut"), 6).alias("mid_sentence_share"),
+        F.sum("_nested").alias("nested_tables"),
     )
+    cuts = percentiles(rows, by, "_length", (0.5, 0.95)).select(*(F.col(c).alias(f"_on_{c}") for c in by), "p50", "p95")
+    return counted.join(cuts, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in by]).select(*counted.columns, "p50", "p95")
 
 
 def contaminated(queries: DataFrame, query: str, text: str, held_out: DataFrame, held_text: str, threshold: float = 0.70) -> DataFrame:

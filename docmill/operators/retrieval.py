@@ -3,43 +3,75 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import unit_hash
 from ..functions.vectors import bigram_features, feature_sign, feature_slot
-from ..plans.staging import BROADCAST_ROWS, staged
+from ..plans.staging import small, staged
 from .ranking import top_k
 
 K1, B = 1.5, 0.75
-#: Queries that a task holds as one matrix.
-QUERY_BLOCK = 4096
+#: Queries that are sent to the tasks at once; rows and queries that are multiplied at once.
+QUERY_BLOCK, QUERY_SLICE, ROW_SLICE = 4096, 512, 2048
 
 
-def bm25(docs: DataFrame, doc: str, doc_tokens: str, queries: DataFrame, query: str, query_tokens: str, k: int) -> DataFrame:
-    """(query, doc, score, rank): the k best documents of each query; terms of a query count once, ties go to the smaller doc.
+class SearchIndex(NamedTuple):
+    """What lexical searches read: postings of all documents, and how many there are and how long on average."""
 
-    Statistics cover all documents. Only terms that occur in a query leave the scan: a filter in front of the shuffle, by
-    broadcast if they are few. Null token lists are empty; queries without a known term have no rows.
+    postings: DataFrame  # doc, n, term, tf
+    corpus: DataFrame  # docs, avg_n: one row
+
+
+def search_index(docs: DataFrame, doc: str, tokens: str, folder: str | None = None) -> SearchIndex:
+    """The index of all documents, for many searches; written to `folder`, else staged. Null token lists are empty."""
+    sizes = docs.select(F.col(doc).alias("doc"), F.coalesce(F.size(tokens), F.lit(0)).alias("n"), F.col(tokens).alias("tokens"))
+    corpus = sizes.agg(F.count("*").alias("docs"), F.avg("n").alias("avg_n"))
+    # The terms of a document are counted where it stands; the shuffle brings those of a term together.
+    postings = sizes.select("doc", "n", F.explode("tokens").alias("term")).groupBy("doc", "n", "term").agg(F.count("*").alias("tf"))
+    if folder is None:
+        return SearchIndex(staged(postings, "postings"), staged(corpus, "corpus"))
+    postings.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/postings")
+    corpus.write.mode("overwrite").parquet(f"{folder}/corpus")
+    return read_search_index(docs.sparkSession, folder)
+
+
+def read_search_index(spark: SparkSession, folder: str) -> SearchIndex:
+    return SearchIndex(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/corpus"))
+
+
+def bm25(index: SearchIndex | DataFrame, doc: str, doc_tokens: str, queries: DataFrame, query: str, query_tokens: str, k: int | None) -> DataFrame:
+    """(query, doc, score, rank): the k best documents of each query, all that score without k; ties go to the smaller doc.
+
+    The documents come as an index, or as a table whose tokens are read once and not kept. Terms of a query count once.
+    Statistics cover all documents. Only postings of the queries' terms are read on: a filter in front of the shuffle, by
+    broadcast if they are few. Queries without a known term have no rows.
     """
     terms = queries.select(F.col(query), F.explode(F.array_distinct(query_tokens)).alias("term"))
-    asked = terms.select("term").distinct()
-    few = asked.count() <= BROADCAST_ROWS
-    # Tokens are made once, and read for the sizes and for the terms.
-    sizes = staged(docs.select(F.col(doc).alias("doc"), F.col(doc_tokens).alias("tokens")), "bm25-tokens")
-    sizes = sizes.withColumn("n", F.coalesce(F.size("tokens"), F.lit(0)))
-    corpus = sizes.agg(F.count("*").alias("docs"), F.avg("n").alias("avg_n"))
-    said = sizes.select("doc", "n", F.explode("tokens").alias("term")).join(F.broadcast(asked) if few else asked, "term", "left_semi")
-    tf = said.groupBy("doc", "n", "term").agg(F.count("*").alias("tf"))
+    asked = small(staged(terms.select("term").distinct(), "asked"))
+    if isinstance(index, SearchIndex):
+        tf, corpus = index.postings.join(asked, "term", "left_semi"), index.corpus
+    else:
+        sizes = index.select(F.col(doc).alias("doc"), F.coalesce(F.size(doc_tokens), F.lit(0)).alias("n"), F.col(doc_tokens).alias("tokens"))
+        # One row of sizes a document stands beside its asked terms, so tokens are made once.
+        said = sizes.select("doc", "n", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.coalesce("tokens", F.array().cast("array<string>")))).alias("term"))
+        said = said.join(asked.withColumn("known", F.lit(True)), "term", "left").where("term is null or known")
+        tf = staged(said.groupBy("doc", "n", "term").agg(F.count("*").alias("tf")), "postings")
+        corpus = tf.where("term is null").agg(F.count("*").alias("docs"), F.avg("n").alias("avg_n"))
+        tf = tf.where("term is not null")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     weights = terms.join(df, "term").crossJoin(F.broadcast(corpus))  # one row: the corpus
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = weights.select(query, "term", idf.alias("idf"), "avg_n")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("avg_n")))
     scored = tf.join(weights, "term").groupBy(query, "doc").agg(F.round(F.sum(part), 6).alias("score"))
+    if k is None:
+        return scored.select(query, F.col("doc").alias(doc), "score")
     best = top_k(scored, [query], [F.col("score").desc(), F.col("doc").asc()], k, tie="doc")
     return best.select(query, F.col("doc").alias(doc), "score", "rank")
 
@@ -52,10 +84,22 @@ def hashed_features(df: DataFrame, key: str, tokens: str, dim: int = 384) -> Dat
     return slots.where("w != 0").select(key, "slot", (F.col("w") / length).alias("weight"))
 
 
+def _best(score: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best columns of each row, ties to the smaller key; sorts only what can be among them."""
+    if score.shape[1] > 4 * k:
+        floor = np.partition(score, -k, axis=1)[:, -k].min()  # no row loses one of its k best
+        some = (score >= floor).any(axis=0)
+        if some.sum() < score.shape[1]:
+            score, keys = score[:, some], keys[:, some]
+    order = np.lexsort((keys, -score), axis=1)[:, :k]
+    return np.take_along_axis(score, order, 1), np.take_along_axis(keys, order, 1)
+
+
 def dense_top_k(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query: str, query_vector: str, k: int, block: int = QUERY_BLOCK) -> DataFrame:
     """(query, key, score, rank): the k rows with the highest cosine to each query, ties to the smaller key.
 
-    Queries go to the tasks in blocks of bounded size; each task multiplies its rows with a block and keeps k rows a query.
+    Queries go to the tasks in blocks of bounded size, one scan of the rows each; with several blocks each one's result is
+    written and its queries are let go before the next. A task multiplies slices of rows and queries and keeps k rows a query.
     Null vectors and vectors of length 0 have no cosine and do not count; vectors of another length raise.
     """
     spark = vectors.sparkSession
@@ -67,23 +111,24 @@ def dense_top_k(vectors: DataFrame, key: str, vector: str, queries: DataFrame, q
     def search(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, matrix = shared.value
-            best: dict[str, np.ndarray] = {}
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                keys = batch.column(0).to_numpy()
-                x = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
-                size = np.linalg.norm(x, axis=1)
-                keys, x = keys[size > 0], x[size > 0] / size[size > 0, None]
-                score = np.round(matrix @ x.T, 6)
-                keys = np.broadcast_to(keys, score.shape)
-                if best:
-                    score, keys = np.hstack([best["s"], score]), np.hstack([best["k"], keys])
-                order = np.lexsort((keys, -score), axis=1)[:, :k]
-                best = {"s": np.take_along_axis(score, order, 1), "k": np.take_along_axis(keys, order, 1)}
-            if best:
-                width = best["s"].shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, width)), pa.array(best["k"].ravel()), pa.array(best["s"].ravel())], ["q", "k", "score"])
+            best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * -(-len(ids) // QUERY_SLICE)
+            for whole in batches:
+                for lo in range(0, whole.num_rows, ROW_SLICE):
+                    batch = whole.slice(lo, ROW_SLICE)
+                    keys = batch.column(0).to_numpy()
+                    x = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
+                    size = np.linalg.norm(x, axis=1)
+                    keys, x = keys[size > 0], x[size > 0] / size[size > 0, None]
+                    for s in range(len(best)):
+                        score = np.round(matrix[s * QUERY_SLICE : (s + 1) * QUERY_SLICE] @ x.T, 6)
+                        own = np.broadcast_to(keys, score.shape)
+                        if best[s] is not None:
+                            score, own = np.hstack([best[s][0], score]), np.hstack([best[s][1], own])
+                        best[s] = _best(score, own, k)
+            for s, found in enumerate(best):
+                if found is not None:
+                    part = ids[s * QUERY_SLICE : (s + 1) * QUERY_SLICE]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part, found[0].shape[1])), pa.array(found[1].ravel()), pa.array(found[0].ravel())], ["q", "k", "score"])
 
         return run
 
@@ -96,14 +141,14 @@ def dense_top_k(vectors: DataFrame, key: str, vector: str, queries: DataFrame, q
         size = np.linalg.norm(matrix, axis=1)
         ids = np.array([r["q"] for r in own], np.int64)[size > 0]
         shared = spark.sparkContext.broadcast((ids, matrix[size > 0] / size[size > 0, None]))
-        parts.append(rows.mapInArrow(search(shared), "q bigint, k bigint, score double"))
+        found = top_k(rows.mapInArrow(search(shared), "q bigint, k bigint, score double"), ["q"], [F.col("score").desc(), F.col("k").asc()], k, tie="k")
+        if blocks > 1:
+            found = staged(found, "dense")
+            shared.destroy()
+        parts.append(found)
     if not parts:
         return spark.createDataFrame([], "q bigint, k bigint, score double, rank int").toDF(query, key, "score", "rank")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionAll(p)
-    best = top_k(found, ["q"], [F.col("score").desc(), F.col("k").asc()], k, tie="k")
-    return best.select(F.col("q").alias(query), F.col("k").alias(key), "score", "rank")
+    return reduce(DataFrame.unionAll, parts).select(F.col("q").alias(query), F.col("k").alias(key), "score", "rank")
 
 
 def lexical_similarity(query_tokens: Column, topics: Column, text: Column, tokens: Column) -> Column:
@@ -146,9 +191,3 @@ def hard_negatives(ranked: DataFrame, query: str, doc: str, own_doc: str, first:
     draw = unit_hash(F.concat_ws("|", F.col(query).cast("string"), F.col(doc).cast("string")))
     place = F.row_number().over(Window.partitionBy(query).orderBy(draw, doc, "rank"))
     return pool.withColumn("draw", place).where(F.col("draw") <= n)
-
-
-def save_search_index(docs: DataFrame, doc: str, tokens: str) -> DataFrame:
-    """(doc, term, tf, n) of all documents, staged for many searches."""
-    sizes = docs.select(F.col(doc), F.coalesce(F.size(tokens), F.lit(0)).alias("n"), F.explode(tokens).alias("term"))
-    return staged(sizes.groupBy(doc, "n", "term").agg(F.count("*").alias("tf")), "postings")

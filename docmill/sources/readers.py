@@ -12,7 +12,7 @@ from ..functions.text import nfc, strip, unix_lines
 REQUIRED = ("공고 번호", "사업명", "발주 기관", "파일형식", "파일명", "텍스트")
 OPTIONAL = ("공고 차수", "사업 금액", "공개 일자", "입찰 참여 시작일", "입찰 참여 마감일", "사업 요약")
 SECTION = "struct<heading: string, text: string, section_path: array<string>, page_span: array<int>>"
-DOCUMENT = f"doc_id string, title string, agency string, project string, metadata map<string,string>, sections array<{SECTION}>"
+DOCUMENT = f"doc_id string, title string, agency string, project string, metadata map<string,string>, text string, body string, sections array<{SECTION}>"
 CASE = "qid string, question_type string, target_doc_ids array<string>, question string, gold_answer string, must_include array<string>, should_abstain boolean, parent_qid string"
 
 
@@ -24,7 +24,8 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, title, agency, project, metadata, sections, source_path) of a folder's .json, .md and .txt files.
 
     Hidden files, manifest.json and README.md are left out. JSON: id and title default to the file's stem, sections without
-    text go. Text: the title is the first line that isn't blank without its #, the body one section. Files without text go.
+    text go and a document without any has its body as one. Text: the title is the first line that isn't blank without its #,
+    the body one section. Files without text go. Raises for a folder without such files.
     """
     files = (
         spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True)
@@ -32,10 +33,14 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     )
     name = F.regexp_extract("source_path", "([^/]+)$", 1)
     files = files.where(name.rlike(r"(?i)\.(json|md|txt)$") & ~name.startswith(".") & ~name.isin("manifest.json", "README.md"))
+    if files.isEmpty():
+        raise FileNotFoundError(f"no documents in {folder}")
     stem = _stem(F.col("source_path"))
     parsed = F.from_json("raw", DOCUMENT)
     as_json = files.where(name.rlike(r"(?i)\.json$")).withColumn("d", parsed)
     kept = F.filter("d.sections", lambda s: F.coalesce(strip(s["text"]), F.lit("")) != "")
+    whole = F.struct(F.lit("본문").alias("heading"), F.coalesce(strip("d.text"), strip("d.body")).alias("text"), F.lit(None).cast("array<string>").alias("section_path"), F.lit(None).cast("array<int>").alias("page_span"))
+    kept = F.when(F.size(F.coalesce(kept, F.array().cast(f"array<{SECTION}>"))) > 0, kept).when(F.coalesce(whole["text"], F.lit("")) != "", F.array(whole)).otherwise(F.array())
     json_docs = as_json.select(
         F.coalesce("d.doc_id", stem).alias("doc_id"),
         F.coalesce("d.title", stem).alias("title"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SCHEMA_VERSION = 2
 
@@ -29,9 +30,31 @@ def write_traces(df: DataFrame, folder: str, run: str, redact: tuple[str, ...] =
     df.write.mode("overwrite").partitionBy(run).json(folder)
 
 
-def public(df: DataFrame) -> DataFrame:
-    """Without columns that begin with _."""
-    return df.select(*[c for c in df.columns if not c.startswith("_")])
+def public(df: DataFrame, drop: tuple[str, ...] = ()) -> DataFrame:
+    """Without columns and nested fields that begin with _ or are named in `drop`, at any depth."""
+
+    def hidden(name: str) -> bool:
+        return name.startswith("_") or name in drop
+
+    def kept(kind: T.DataType, value: Column) -> Column:
+        if isinstance(kind, T.StructType):
+            fields = [kept(f.dataType, value[f.name]).alias(f.name) for f in kind.fields if not hidden(f.name)]
+            return F.when(value.isNotNull(), F.struct(*fields)) if fields else F.lit(None)
+        if isinstance(kind, T.ArrayType) and _holds(kind.elementType, hidden):
+            return F.transform(value, lambda x: kept(kind.elementType, x))
+        if isinstance(kind, T.MapType):
+            own = F.map_filter(value, lambda k, _: ~(k.startswith("_") | k.isin(*drop)) if drop else ~k.startswith("_")) if isinstance(kind.keyType, T.StringType) else value
+            return F.transform_values(own, lambda _, x: kept(kind.valueType, x)) if _holds(kind.valueType, hidden) else own
+        return value
+
+    return df.select(*(kept(f.dataType, F.col(f"`{f.name}`")).alias(f.name) for f in df.schema.fields if not hidden(f.name)))
+
+
+def _holds(kind: T.DataType, hidden) -> bool:
+    """Whether something hidden can stand below."""
+    if isinstance(kind, T.StructType):
+        return any(hidden(f.name) or _holds(f.dataType, hidden) for f in kind.fields)
+    return isinstance(kind, T.MapType) or isinstance(kind, T.ArrayType) and _holds(kind.elementType, hidden)
 
 
 def forbidden_columns(df: DataFrame, names: set[str]) -> list[str]:
