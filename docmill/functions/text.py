@@ -203,3 +203,95 @@ def field_candidate(line: str | Column) -> Column:
     """struct<key, value> of a `key: value` line, else null."""
     key, value = (strip(F.regexp_extract(_c(line), r"^([^:：]{1,30})[:：](.+)$", k)) for k in (1, 2))
     return F.when((key != "") & (value != ""), F.struct(key.alias("key"), value.alias("value")))
+
+
+# What marks instructions within documents, and what takes its place.
+CHAT_TOKEN = r"(?i)<\|(?:im_start|im_end|system|user|assistant|tool|begin_of_text|end_of_text|fim_[a-z_]+|endoftext)\|>"
+ROLE_LINE = r"(?im)^([ \t]*(?:SYSTEM|ASSISTANT|USER|TOOL)[ \t]*:[ \t]*[^\n]+)$"
+OVERRIDE_LINE = r"(?im)^([ \t]*(?:ignore|disregard|forget|override|bypass|skip)\b[^.\n]{0,80}?\b(?:instructions?|prompts?|rules?|directives?|system|guidance)\b[^\n]*)$"
+LITERAL_MARKER = r"\[/?INSTRUCTION_LIKE\]"
+# The axes of Korean tender texts, each with its pattern.
+AXES = (
+    ("currency", r"[0-9][0-9,]* *원|일금|[0-9]+ *[억만천백] *[원만천]?|[일이삼사오육칠팔구] *[억만천] *원?"),
+    ("date", r"[0-9]{4} *[-./] *[0-9]{1,2} *[-./] *[0-9]{1,2}|[0-9]{4} *년 *[0-9]{1,2} *월|['‘’][0-9]{2} *[-./] *[0-9]{1,2}"),
+    ("hanja", r"[㐀-䶿一-鿿]"),
+    ("project_number", r"\[[가-힣A-Za-z]+\]|사업번호|입찰공고|사전공개|[A-Z0-9]{2,}-[A-Z0-9][A-Z0-9-]*"),
+    ("abbreviation", r"\([A-Z]{2,6}\)|[A-Z]{2,6} *(?:구축|시스템|사업)"),
+)
+# How headings begin, and words that a short line is a heading by.
+HEADING_START = r"^(제[ \t]*[0-9]+[ \t]*[장절]|[IVXLC]+\.|[0-9]+[).]|[가-힣]\.)"
+HEADING_WORDS = ("제안요청", "사업개요", "사업 개요", "요구사항", "과업내용", "과업 내용", "입찰", "평가", "목차", "security requirements", "requirements")
+# Where a section may begin: titles, numberings and headings at a line's start, or after two blank lines.
+BOUNDARY = r"(?m)^[ \t]*(?:제[ \t]*[0-9]+[ \t]*[장조항편]|[0-9]+(?:\.[0-9]+)*[ \t]+|\([0-9가-힣]+\)[ \t]+|[가-힣]\.[ \t]+|#{1,6}[ \t]+[^ \t\n])"
+
+
+def neutralized(text: str | Column) -> Column:
+    """Lines that give instructions in brackets, chat tokens replaced; marks of that kind that were there before are renamed first."""
+    out = F.regexp_replace(_c(text), LITERAL_MARKER, "[INPUT_MARKER]")
+    out = F.regexp_replace(out, CHAT_TOKEN, "[REDACTED_CHAT_TOKEN]")
+    for line in (ROLE_LINE, OVERRIDE_LINE):
+        out = F.regexp_replace(out, line, "[INSTRUCTION_LIKE]$1[/INSTRUCTION_LIKE]")
+    return out
+
+
+def axes(text: str | Column) -> Column:
+    """Names of the axes whose pattern occurs, in their fixed order."""
+    return F.array_compact(F.array(*(F.when(_c(text).rlike(pattern), F.lit(name)) for name, pattern in AXES)))
+
+
+def first_line(text: str | Column) -> Column:
+    """The first line that isn't blank, stripped; '' without one."""
+    return F.regexp_extract(strip(text), r"^([^\r\n]*)", 1)
+
+
+def block_kind(text: str | Column) -> Column:
+    """heading, table or text, by a block's first line."""
+    line = strip(first_line(text))
+    bare = F.regexp_replace(line, f"{SPACE}+", "")
+    short = (F.length(bare) > 0) & (F.length(bare) <= 48) & ~line.contains(":") & ~line.rlike("[.?!。]$")
+    named = short & contains_any(F.lower(line), HEADING_WORDS)
+    return F.when(line.rlike(HEADING_START) | named, "heading").when(table_line(line), "table").otherwise("text")
+
+
+def without_contents_noise(text: str | Column) -> Column:
+    """Leaders of dots as one space, lines of page numbers left out."""
+    out = F.regexp_replace(F.regexp_replace(_c(text), "·{8,}", " "), r"\.{15,}", " ")
+    lines = F.filter(F.split(out, "\n"), lambda x: ~x.rlike(r"^\|+-[0-9]+-\|+$"))
+    return F.when(out.isNotNull(), F.array_join(lines, "\n"))
+
+
+def boundaries(text: str | Column, least: int = 300) -> Column:
+    """array<int>: where a section may begin (from 0, without 0), in texts of `least` characters and more."""
+    text = _c(text)
+    ends = F.regexp_replace(F.regexp_replace(text, r"(\n[ \t]*\n[ \t]*\n[ \t\n]*)", "$1\x02"), BOUNDARY, "\x02$0")
+    parts = F.split(ends, "\x02", -1)
+    lengths = F.transform(parts, F.length)
+    starts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.aggregate(F.slice(lengths, F.lit(1), k), F.lit(0), lambda a, x: a + x))
+    inner = F.array_distinct(F.filter(F.slice(starts, F.lit(1), F.size(parts) - 1), lambda p: (p > 0) & (p < F.length(text))))
+    return F.when(F.length(text) >= least, inner).otherwise(F.array().cast("array<int>"))
+
+
+def body_sections(text: str | Column, least: int = 80) -> Column:
+    """array<struct<heading, text>>: the stretches between the boundaries, those under `least` characters joined to the one before.
+
+    A text without two such stretches is one section.
+    """
+    text = _c(text)
+    cuts = F.concat(F.array(F.lit(0)), boundaries(text), F.array(F.length(text)))
+    pieces = F.zip_with(F.slice(cuts, F.lit(1), F.size(cuts) - 1), F.slice(cuts, F.lit(2), F.size(cuts) - 1), lambda a, b: strip(F.substring(text, a + 1, b - a)))
+    empty = F.array().cast("array<string>")
+
+    def merge(done: Column, piece: Column) -> Column:
+        last = F.concat(F.element_at(done, -1), F.lit("\n"), piece)
+        short = (F.size(done) > 0) & (F.length(piece) < least)
+        return F.when(piece == "", done).when(short, F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(last))).otherwise(F.concat(done, F.array(piece)))
+
+    merged = F.aggregate(pieces, empty, merge)
+    whole = F.array(F.struct(F.lit("본문").alias("heading"), text.alias("text")))
+    return F.when(F.size(merged) < 2, whole).otherwise(F.transform(merged, lambda p: F.struct(F.substring(strip(first_line(p)), 1, 80).alias("heading"), p.alias("text"))))
+
+
+def char_counts(text: str | Column) -> Column:
+    """map<character, count> of a text without white space."""
+    chars = F.filter(F.split(F.regexp_replace(_c(text), f"{SPACE}+", ""), ""), lambda c: c != "")
+    return F.map_from_entries(F.transform(F.array_distinct(chars), lambda c: F.struct(c, F.size(F.filter(chars, lambda x: x == c)))))

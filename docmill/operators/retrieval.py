@@ -191,3 +191,63 @@ def hard_negatives(ranked: DataFrame, query: str, doc: str, own_doc: str, first:
     draw = unit_hash(F.concat_ws("|", F.col(query).cast("string"), F.col(doc).cast("string")))
     place = F.row_number().over(Window.partitionBy(query).orderBy(draw, doc, "rank"))
     return pool.withColumn("draw", place).where(F.col("draw") <= n)
+
+
+def shared_words(queries: DataFrame, query: str, query_tokens: str, docs: DataFrame, doc: str, doc_tokens: str) -> DataFrame:
+    """(query, doc, overlap, cosine): of pairs with a word in common, the share of the query's words that the document has, and the cosine of their counts."""
+    count = lambda df, key, t, n: df.select(key, F.explode(t).alias("w")).groupBy(key, "w").agg(F.count("*").alias(n))
+    ours, theirs = count(queries, query, query_tokens, "a"), count(docs, doc, doc_tokens, "b")
+    length = lambda df, key, n, out: df.groupBy(key).agg(F.sqrt(F.sum(F.col(n) * F.col(n))).alias(out), F.count("*").alias(f"{out}_words"))
+    met = ours.join(theirs, "w").groupBy(query, doc).agg(F.sum(F.col("a") * F.col("b")).alias("_d"), F.count("*").alias("_n"))
+    met = met.join(length(ours, query, "a", "_q"), query).join(length(theirs, doc, "b", "_s"), doc)
+    return met.select(query, doc, (F.col("_n") / F.col("_q_words")).alias("overlap"), (F.col("_d") / (F.col("_q") * F.col("_s"))).alias("cosine"))
+
+
+def at_keys(vectors: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows of the wanted keys only; raises when read if one isn't there."""
+    keys = wanted.select(F.col(key).alias("_k")).distinct()
+    found = keys.join(vectors, F.col("_k") == F.col(key), "left")
+    there = F.when(F.col(key).isNull(), F.raise_error(F.concat(F.lit("no row with key "), F.col("_k").cast("string")))).otherwise(F.col(key))
+    return found.select(there.alias(key), *(c for c in vectors.columns if c != key))
+
+
+def candidates(found: DataFrame, query: str, stages: DataFrame, docs: DataFrame, doc: str, row: str) -> DataFrame:
+    """(query, stage, attempt, rows, kept, fallback): how many rows a search looks at in each stage; all of them where a filter leaves none."""
+    per = docs.groupBy(doc).agg(F.count(row).alias("_n"))
+    kept = found.join(per, doc).groupBy(query, "stage").agg(F.sum("_n").alias("kept"))
+    total = docs.agg(F.count(row).alias("rows"))
+    out = stages.join(kept, [query, "stage"], "left").crossJoin(F.broadcast(total))  # one row of the total
+    filtered = F.coalesce("kept", F.lit(0)) > 0
+    return out.select(query, "stage", "attempt", F.when(filtered, F.col("kept")).otherwise(F.col("rows")).alias("rows"), (~filtered & (F.col("stage") != "relaxed")).alias("fallback"))
+
+
+def staged_search(scored: DataFrame, query: str, doc: str, row: str, score: str, stages: DataFrame, allowed: DataFrame, first_k: str, later_k: int) -> DataFrame:
+    """(query, stage, attempt, row, score, rank): the best rows of every stage that a query's search goes through.
+
+    scored: (query, doc, row, score, first_k). A stage keeps to its allowed documents, to all where they have no scored row.
+    The first attempt takes first_k rows, later ones later_k at least.
+    """
+    tries = scored.join(stages, query)
+    kept = allowed.withColumn("_in", F.lit(True))
+    marked = tries.join(kept, [query, "stage", doc], "left")
+    some = F.max(F.coalesce("_in", F.lit(False))).over(Window.partitionBy(query, "stage"))
+    marked = marked.withColumn("_some", some).where("_in or not _some")
+    k = F.when(F.col("attempt") == 1, F.col(first_k)).otherwise(F.greatest(F.col(first_k), F.lit(later_k)))
+    most = marked.withColumn("_k", k)
+    place = F.row_number().over(Window.partitionBy(query, "stage").orderBy(F.col(score).desc(), F.col(row)))
+    return most.withColumn("rank", place).where(F.col("rank") <= F.col("_k")).drop("_in", "_some", "_k")
+
+
+def first_verified(verdicts: DataFrame, query: str) -> DataFrame:
+    """(query, stage, attempt, verified, reason, retries): the first attempt that was verified, else the last one."""
+    order = F.struct((~F.col("verified")).alias("a"), F.when(F.col("verified"), F.col("attempt")).otherwise(-F.col("attempt")).alias("b"))
+    best = verdicts.groupBy(query).agg(F.min_by(F.struct("stage", "attempt", "verified", "reason"), order).alias("_b"))
+    return best.select(query, "_b.*", (F.col("_b.attempt") - 1).alias("retries"))
+
+
+def cross_score(raw: Column, sigmoid: bool = True) -> Column:
+    """A rescorer's output within [0, 1]: by the logistic function, else cut off; null and NaN are 0."""
+    x = F.coalesce(F.nanvl(raw.cast("double"), F.lit(0.0)), F.lit(0.0)) if not sigmoid else raw.cast("double")
+    if not sigmoid:
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    return F.when(x.isNull() | F.isnan(x), 0.0).otherwise(1 / (1 + F.exp(-x)))
