@@ -41,3 +41,19 @@ def chain_depth(df: DataFrame, key: str, parent: str, longest: int = 16) -> Data
         links = staged(links, "chain")
         reach *= 2
     return links.select(F.col("k").alias(key), F.least("d", F.lit(longest)).alias("depth"))
+
+
+def states(df: DataFrame, by: list[str], order: list[str], entity: str, confidence: str, n: int = TURNS, floor: float = 0.70) -> DataFrame:
+    """Adds to each turn turn_no, active, context_entity and context_confidence: what the conversation is about by then.
+
+    Entities named in the last n turns with a confidence of `floor` or more are active. The one named last is the context, with
+    at least .85, or at most .65 where several are active.
+    """
+    w = Window.partitionBy(*by).orderBy(*order)
+    recent = w.rowsBetween(-(n - 1), 0)
+    sure = F.when(F.col(confidence) >= floor, F.col(entity))
+    active = F.size(F.array_distinct(F.collect_list(sure).over(recent)))  # at most n
+    last, known = F.last(sure, ignorenulls=True).over(recent), F.last(F.when(sure.isNotNull(), F.col(confidence)), ignorenulls=True).over(recent)
+    out = df.withColumn("turn_no", F.row_number().over(w)).withColumn("active", active).withColumn("context_entity", last).withColumn("_c", known)
+    level = F.when(F.col("active") > 1, F.least(F.col("_c"), F.lit(0.65))).when(F.col("active") == 1, F.greatest(F.col("_c"), F.lit(0.85)))
+    return out.withColumn("context_confidence", level).drop("_c")

@@ -150,3 +150,18 @@ def frequent_and_rest(df: DataFrame, by: str, n: int, rest: str = "others") -> D
     first = counts.orderBy(F.col("n").desc(), by).limit(n).withColumn("_k", F.col(by))
     marked = counts.join(F.broadcast(first.select(by, "_k")), by, "left")  # n rows
     return marked.groupBy(F.coalesce("_k", F.lit(rest)).alias(by)).agg(F.sum("n").alias("n"))
+
+
+def audited(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """Adds warnings: the names of all checks that a row fails, in their order; a check whose condition is null is failed."""
+    failed = F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()))
+    return df.withColumn("warnings", F.array_compact(failed))
+
+
+def documents_of_manifest(manifest: DataFrame, files: DataFrame, path: str) -> DataFrame:
+    """The manifest's rows with doc_id, format, the path of their file and a reason for those that can't be read."""
+    rows = resolved_files(manifest, "파일명", files, path)
+    doc_id = canonical_doc_id("공고 번호", F.col("공고 차수").try_cast("int"), "파일명")
+    rows = rows.withColumn("doc_id", doc_id).withColumn("format", file_format("파일형식", "파일명"))
+    reason = F.when(F.coalesce(F.col("파일명"), F.lit("")) == "", "missing_file_name").when(~F.col("format").isin(*FORMATS), "unsupported_file_format").when(F.col("source_file").isNull(), "missing_file")
+    return rows.withColumn("reason", reason)

@@ -56,12 +56,6 @@ def text_injection_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("item_id", F.when(F.size("p") > 0, "flagged").otherwise("passed").alias("status"), F.array_join("p", ",").alias("patterns"))
 
 
-@_query()
-def text_pii_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with their text redacted; no SQL: the engines disagree about word bounds beside Hangul."""
-    return _t(spark, sf_dir, "documents").select("doc_id", text.redacted("text").alias("text"))
-
-
 @_query(
     """SELECT doc_row_id, regexp_replace(regexp_replace(lower(nfc_normalize(agency)), '[^0-9a-z가-힣]+', '', 'g'), '^$', '') AS agency_compact,
        regexp_replace(regexp_replace(title, '^[ \\t\\n\\x0B\\f\\r\\x{A0}\\x{3000}]+|[ \\t\\n\\x0B\\f\\r\\x{A0}\\x{3000}]+$', '', 'g'), '[ \\t\\n\\x0B\\f\\r\\x{A0}\\x{3000}]+', '-', 'g') AS title_slug FROM rfp_documents"""
@@ -509,13 +503,6 @@ def quality_chunk_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.chunk_health(df, ["strategy"], "text", "doc_id")
 
 
-@_query()
-def quality_contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Screened queries that overlap with held-out items."""
-    asked = spread(_t(spark, sf_dir, "prompt_injection_ko").select("item_id", "text"))
-    return quality.contaminated(asked, "item_id", "text", _t(spark, sf_dir, "eval_items"), "text")
-
-
 @_query(
     f"""WITH h AS ({_HITS}), r AS (SELECT query_id, chunk_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, chunk_id) AS rank, first_value(doc_id) OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, chunk_id) AS own FROM h WHERE doc_id IS NOT NULL),
     p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ('0x' || substr(sha256(query_id || '|' || chunk_id), 1, 8))::BIGINT, chunk_id)::INT AS draw FROM r WHERE rank BETWEEN 3 AND 20 AND doc_id <> own)

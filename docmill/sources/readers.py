@@ -21,20 +21,26 @@ def _stem(path: F.Column) -> F.Column:
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, title, agency, project, metadata, sections, source_path) of a folder's .json, .md and .txt files.
+    """The documents of a folder's .json, .md and .txt files, by `parsed_documents`; raises for a folder without any."""
+    files = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True).select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("source_path"))
+    if _documents_only(files).isEmpty():
+        raise FileNotFoundError(f"no documents in {folder}")
+    return parsed_documents(files)
+
+
+def _documents_only(files: DataFrame) -> DataFrame:
+    name = F.regexp_extract("source_path", "([^/]+)$", 1)
+    return files.where(name.rlike(r"(?i)\.(json|md|txt)$") & ~name.startswith(".") & ~name.isin("manifest.json", "README.md"))
+
+
+def parsed_documents(files: DataFrame) -> DataFrame:
+    """(doc_id, title, agency, project, metadata, sections, source_path) of whole files, given as (raw, source_path).
 
     Hidden files, manifest.json and README.md are left out. JSON: id and title default to the file's stem, sections without
     text go and a document without any has its body as one. Text: the title is the first line that isn't blank without its #,
-    the body one section. Files without text go. Raises for a folder without such files.
+    the body one section. Files without text go.
     """
-    files = (
-        spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True)
-        .select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("source_path"))
-    )
-    name = F.regexp_extract("source_path", "([^/]+)$", 1)
-    files = files.where(name.rlike(r"(?i)\.(json|md|txt)$") & ~name.startswith(".") & ~name.isin("manifest.json", "README.md"))
-    if files.isEmpty():
-        raise FileNotFoundError(f"no documents in {folder}")
+    files, name = _documents_only(files), F.regexp_extract("source_path", "([^/]+)$", 1)
     stem = _stem(F.col("source_path"))
     parsed = F.from_json("raw", DOCUMENT)
     as_json = files.where(name.rlike(r"(?i)\.json$")).withColumn("d", parsed)
@@ -93,7 +99,12 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
 
 def read_history(spark: SparkSession, glob: str) -> DataFrame:
     """(snapshot, metric, value): numbers of all snapshot files, which are ordered by name."""
-    rows = spark.read.text(glob, wholetext=True).select(_stem(F.col("_metadata.file_path")).alias("snapshot"), F.from_json("value", "map<string,string>").alias("m"))
+    return history(spark.read.text(glob, wholetext=True).select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("source_path")))
+
+
+def history(files: DataFrame) -> DataFrame:
+    """(snapshot, metric, value) of whole snapshot files, given as (raw, source_path); values that are no numbers are left out."""
+    rows = files.select(_stem(F.col("source_path")).alias("snapshot"), F.from_json("raw", "map<string,string>").alias("m"))
     long = rows.select("snapshot", F.explode("m").alias("metric", "raw")).withColumn("value", F.col("raw").try_cast("double"))
     return long.where("value is not null").select("snapshot", "metric", "value")
 
