@@ -229,7 +229,10 @@ _CELLS = """SELECT section_id, r::INT AS r, (generate_subscripts(w, 1) - 1)::INT
     (SELECT section_id, string_split(arg_min(text, section_uid), chr(10)) AS l FROM rfp_sections WHERE text IS NOT NULL AND delivery_no = {} GROUP BY 1))"""
 _BOTH = f"""SELECT coalesce(g.section_id, e.section_id) AS section_id, coalesce(g.r, e.r) AS r, coalesce(g.c, e.c) AS c, g.x AS gx, e.x AS ex FROM ({_CELLS.format(1)}) g FULL JOIN ({_CELLS.format(2)}) e ON g.section_id = e.section_id AND g.r = e.r AND g.c = e.c"""
 _SPAN = "1 + length({}) % 3"
-_SIMILAR = "CASE WHEN greatest(length({0}), length({1})) > 0 THEN 1 - levenshtein({0}, {1}) / greatest(length({0}), length({1}))::DOUBLE ELSE 1 END >= 0.9"
+# Edit distance by characters (DuckDB's is by bytes): under ten characters nearly equal is equal, under twenty one edit is allowed.
+_PREFIX = "len(list_filter(range(1, least(length({0}), length({1})) + 1), lambda i: substr({0}, 1, i) = substr({1}, 1, i)))"
+_REST = f"substr({{0}}, {_PREFIX} + {{2}}) = substr({{1}}, {_PREFIX} + {{3}})"
+_SIMILAR = f"({{0}} = {{1}} OR greatest(length({{0}}), length({{1}})) >= 10 AND ({' OR '.join(_REST.format('{0}', '{1}', a, b) for a, b in ((2, 2), (2, 1), (1, 2)))}))"
 
 
 def _delivered(spark: SparkSession, sf_dir: str, no: int) -> DataFrame:

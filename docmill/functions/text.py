@@ -21,6 +21,11 @@ COMPARISON_CUES = ("차이", "비교", "각각", "대비")
 # White space of either regular-expression engine, spelled out.
 SPACE = r"[ \t\n\x0B\f\r\x{A0}\x{3000}]"
 TOKEN = "[A-Za-z0-9]+|[가-힣]+"
+# Fixed value: ranges that hold all characters that combine with others or are replaced by others in the composed form.
+MAY_COMPOSE = (
+    r"[\x{300}-\x{36f}\x{374}\x{37e}\x{387}\x{483}-\x{487}\x{591}-\x{1dff}\x{1f00}-\x{2001}\x{20d0}-\x{20ff}\x{2126}\x{212a}\x{212b}\x{2329}\x{232a}"
+    r"\x{2adc}\x{2cef}-\x{2cf1}\x{2d7f}\x{2de0}-\x{2dff}\x{302a}-\x{302f}\x{3099}\x{309a}\x{a66f}-\x{abed}\x{f900}-\x{fb4f}\x{fe20}-\x{fe2f}\x{10000}-\x{2fa1f}]"
+)
 PARTICLE_TAIL = f"^([가-힣]{{2,}}?)(?:{'|'.join(PARTICLES)})+$"
 # Patterns of personal data and what replaces them, in the order in which they apply.
 PII = (
@@ -77,9 +82,9 @@ def collapsed(text: str | Column) -> Column:
 
 
 def composed(text: str | Column) -> Column:
-    """Unicode's composed form; only texts with combining characters leave the JVM for it."""
+    """Unicode's composed form; only texts that may not be in it leave the JVM."""
     text = _c(text)
-    return F.coalesce(nfc(F.when(text.rlike("[\u0300-\u036f\u1100-\u11ff\u3099\u309a]"), text)), text)
+    return F.coalesce(nfc(F.when(text.rlike(MAY_COMPOSE), text)), text)
 
 
 def compact(text: str | Column) -> Column:
