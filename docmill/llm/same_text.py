@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.staging import BROADCAST_ROWS, staged
+from ..plans.staging import small, staged
 from .columns import canonical_text
 
 #: Tasks over which the copies of one spelling are spread.
@@ -40,7 +40,8 @@ def same_print_pairs(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame
         df.select(F.lit(name).alias("tbl"), F.col(key).cast("bigint").alias("id"), F.col(text).alias("stored"))
         for name, (df, key, text) in tables.items()
     ]
-    digest = lambda c: F.unhex(F.md5(c))
+    # Table and text in one digest, so that what is joined holds nothing but digests and ids.
+    digest = lambda c: F.unhex(F.md5(F.concat("tbl", F.lit("\0"), F.col(c))))
     rows = (
         reduce(DataFrame.unionAll, parts)
         .where(F.col("stored").isNotNull())
@@ -49,19 +50,19 @@ def same_print_pairs(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame
         .select("tbl", "id", digest("form").alias("form"), digest("stored").alias("stored"))
     )
     rows = staged(rows, "p1-digests")
-    spellings = rows.groupBy("tbl", "form", "stored").agg(F.count("*").alias("copies"))
-    several = spellings.groupBy("tbl", "form").agg(F.count("*").alias("n")).where("n > 1").select("tbl", "form")
-    spellings = spellings.join(several, ["tbl", "form"], "left_semi")
-    ordered = F.struct("copies", "stored")
-    a, b = (spellings.select("tbl", "form", ordered.alias(c)) for c in "ab")
+    spellings = rows.groupBy("form", "stored").agg(F.count("*").alias("copies"))
+    several = spellings.groupBy("form").agg(F.count("*").alias("n")).where("n > 1").select("form")
+    spellings = spellings.join(several, "form", "left_semi")
+    a, b = (spellings.select("form", F.struct("copies", "stored").alias(c)) for c in "ab")
     # Of two spellings, a is the one with more copies.
-    pairs = a.join(b, ["tbl", "form"]).where("a > b").select("tbl", F.col("a.stored").alias("a"), F.col("b.stored").alias("b"))
-    pairs = staged(pairs, "p1-spellings")
-    known = F.broadcast(pairs) if pairs.count() <= BROADCAST_ROWS else pairs
-    many = rows.select("tbl", F.col("stored").alias("a"), F.col("id").alias("x")).join(known, ["tbl", "a"])
-    few = rows.select("tbl", F.col("stored").alias("b"), F.col("id").alias("y")).join(known, ["tbl", "b"])
+    pairs = staged(a.join(b, "form").where("a > b").select(F.col("a.stored").alias("a"), F.col("b.stored").alias("b")), "p1-spellings")
+    # Only rows of such spellings go on; to find them a list of spellings is sent out if it is short.
+    spelled = small(staged(pairs.select(F.explode(F.array("a", "b")).alias("stored")).distinct(), "p1-spelled"))
+    own = rows.select("tbl", "id", "stored").join(spelled, "stored", "left_semi")
+    many = own.select("tbl", F.col("stored").alias("a"), F.col("id").alias("x")).join(pairs, "a")
+    few = own.select(F.col("stored").alias("b"), F.col("id").alias("y")).join(pairs, "b")
     # A spelling's many copies are spread over SALTS tasks, each of which sees all of the fewer ones.
     many = many.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int"))
     few = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    met = many.join(few, ["tbl", "a", "b", "salt"]).where("x != y")
+    met = many.join(few, ["a", "b", "salt"]).where("x != y")
     return met.select("tbl", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
