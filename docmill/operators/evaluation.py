@@ -48,6 +48,23 @@ def ranking_metrics(df: DataFrame, ranked: str, gold: str, ks: tuple[int, ...] =
     return df.withColumn("mrr", reciprocal_rank(r, g)).withColumn("ndcg_at_10", ndcg_at(r, g, 10))
 
 
+def ranked_metrics(df: DataFrame, by: list[str], item: str, rank: str, gold: DataFrame, gold_by: list[str], ks: tuple[int, ...] = (1, 5, 10), depth: int = 10) -> DataFrame:
+    """(by..., recall_at_k..., mrr, ndcg_at_depth) of rows that have a rank from 1, against (gold_by..., item); no lists are gathered.
+
+    Groups without gold have no row; those that found none of it have zeros.
+    """
+    wanted = gold.select(*gold_by, item).distinct()
+    sizes = wanted.groupBy(*gold_by).agg(F.count("*").alias("_n"))
+    groups = df.select(*by).distinct().join(sizes, gold_by)
+    hits = df.join(wanted, [*gold_by, item], "left_semi")
+    gain = F.sum(F.when(F.col(rank) <= depth, 1.0 / F.log2(F.col(rank) + 1.0)))
+    found = hits.groupBy(*by).agg(*(F.count_if(F.col(rank) <= k).alias(f"_{k}") for k in ks), F.min(rank).alias("_first"), gain.alias("_gain"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("_n"), F.lit(depth)).cast("int")), F.lit(0.0), lambda s, i: s + 1.0 / F.log2(i + 1.0))
+    out = groups.join(found, by, "left")
+    recalls = [(F.coalesce(f"_{k}", F.lit(0)) / F.col("_n")).alias(f"recall_at_{k}") for k in ks]
+    return out.select(*by, *recalls, F.coalesce(1.0 / F.col("_first"), F.lit(0.0)).alias("mrr"), (F.coalesce("_gain", F.lit(0.0)) / ideal).alias(f"ndcg_at_{depth}"))
+
+
 def bag_scores(left: DataFrame, right: DataFrame, key: str, items: str) -> DataFrame:
     """(key, common, n_left, n_right, precision, recall, f1) of two multisets of array elements by key, repeats counted."""
     count = lambda df, n: df.select(key, F.explode(items).alias("x")).groupBy(key, "x").agg(F.count("*").alias(n))
@@ -95,12 +112,6 @@ def abstention_outcome(abstained: Column, has_evidence: Column) -> Column:
     return F.when(abstained & ~has_evidence, "correct_refusal").when(abstained, "boundary_partial").otherwise("incorrect_answer")
 
 
-def token_alignment(claim_tokens: Column, evidence_tokens: Column) -> Column:
-    """Share of a claim's distinct tokens that the evidence holds; null without any."""
-    n = F.size(F.array_distinct(claim_tokens))
-    return F.when(n > 0, F.size(F.array_intersect(claim_tokens, evidence_tokens)) / n)
-
-
 def gauge(value: Column, floor: Column) -> Column:
     """(value - floor) / (1 - floor); null where the floor is 1."""
     return F.try_divide(value - floor, 1 - floor)

@@ -1,4 +1,4 @@
-"""Ranks, top k, fusion and coverage: window functions that hold for hot groups."""
+"""Ranks, top k, fusion and coverage as window functions. What keeps k rows a group is salted; what ranks all rows sorts each group in one task."""
 
 from __future__ import annotations
 
@@ -30,7 +30,7 @@ def reciprocal_rank_fusion(df: DataFrame, by: list[str], item: str, channels: li
     return df.withColumn("rrf", F.round(total * k / len(channels), 6))
 
 
-def balanced_top_k(df: DataFrame, by: list[str], target: str, targets: list[str], score: str, tie: str, k: int, min_per_target: int = 1) -> DataFrame:
+def balanced_top_k(df: DataFrame, by: list[str], target: str, targets: list[str], score: str, tie: str, k: int, min_per_target: int = 1, salts: int = 32) -> DataFrame:
     """The k best rows of each group, of which every target has min_per_target (at most k // targets) if it has them.
 
     Result order: score, then rows chosen for their target in the order of `targets`, then `tie`; as column rank.
@@ -38,6 +38,10 @@ def balanced_top_k(df: DataFrame, by: list[str], target: str, targets: list[str]
     least = min(max(1, min_per_target), max(1, k // max(1, len(targets))))
     at = F.array_position(F.array(*map(F.lit, targets)), F.col(target))
     best = [F.col(score).desc_nulls_last(), F.col(tie).asc()]
+    # A first pass by salt leaves what can be among a group's k or a target's first ones.
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(tie), F.lit(salts)))
+    of_all, of_target = (F.row_number().over(Window.partitionBy(*by, *more, "_salt").orderBy(*best)) for more in ([], [target]))
+    df = salted.withColumn("_a", of_all).withColumn("_b", of_target).where((F.col("_a") <= k) | (F.col("_b") <= least)).drop("_salt", "_a", "_b")
     place = F.row_number().over(Window.partitionBy(*by, target).orderBy(*best))
     df = df.withColumn("_first", F.when((at > 0) & (place <= least), 0).otherwise(1)).withColumn("_at", F.when(F.col("_first") == 0, at).otherwise(0))
     chosen = F.row_number().over(Window.partitionBy(*by).orderBy("_first", F.col(score).desc_nulls_last(), "_at", tie))

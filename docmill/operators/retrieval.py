@@ -193,14 +193,32 @@ def hard_negatives(ranked: DataFrame, query: str, doc: str, own_doc: str, first:
     return pool.withColumn("draw", place).where(F.col("draw") <= n)
 
 
+def counts_length(tokens: Column) -> Column:
+    """Euclidean length of a list's word counts; an m-th repeat adds 2m - 1 to the sum of squares."""
+    zero = F.struct(F.lit(None).cast("string").alias("w"), F.lit(0).alias("run"), F.lit(0).cast("bigint").alias("sum"))
+
+    def step(s: Column, w: Column) -> Column:
+        run = F.when(s["w"].eqNullSafe(w), s["run"] + 1).otherwise(0)
+        return F.struct(w.alias("w"), run.alias("run"), (s["sum"] + 2 * run + 1).alias("sum"))
+
+    return F.sqrt(F.aggregate(F.array_sort(tokens), zero, step)["sum"].cast("double"))
+
+
 def shared_words(queries: DataFrame, query: str, query_tokens: str, docs: DataFrame, doc: str, doc_tokens: str) -> DataFrame:
-    """(query, doc, overlap, cosine): of pairs with a word in common, the share of the query's words that the document has, and the cosine of their counts."""
-    count = lambda df, key, t, n: df.select(key, F.explode(t).alias("w")).groupBy(key, "w").agg(F.count("*").alias(n))
-    ours, theirs = count(queries, query, query_tokens, "a"), count(docs, doc, doc_tokens, "b")
-    length = lambda df, key, n, out: df.groupBy(key).agg(F.sqrt(F.sum(F.col(n) * F.col(n))).alias(out), F.count("*").alias(f"{out}_words"))
-    met = ours.join(theirs, "w").groupBy(query, doc).agg(F.sum(F.col("a") * F.col("b")).alias("_d"), F.count("*").alias("_n"))
-    met = met.join(length(ours, query, "a", "_q"), query).join(length(theirs, doc, "b", "_s"), doc)
-    return met.select(query, doc, (F.col("_n") / F.col("_q_words")).alias("overlap"), (F.col("_d") / (F.col("_q") * F.col("_s"))).alias("cosine"))
+    """(query, doc, overlap, cosine): of pairs with a word in common, the share of the query's words that the document has, and the cosine of their counts.
+
+    Only words of a query leave the scan of the documents, each document's length goes with them.
+    """
+    # Lengths in a step of their own: beside an explode they would be taken for every word.
+    ours = queries.select(query, F.size(F.array_distinct(query_tokens)).alias("_words"), counts_length(F.col(query_tokens)).alias("_q"), F.col(query_tokens).alias("_t"))
+    ours = ours.select(query, "_words", "_q", F.explode("_t").alias("w"))
+    ours = staged(ours.groupBy(query, "_words", "_q", "w").agg(F.count("*").alias("a")), "asked-words")
+    asked = small(staged(ours.select("w").distinct(), "asked"))
+    said = docs.select(doc, counts_length(F.col(doc_tokens)).alias("_s"), F.col(doc_tokens).alias("_t"))
+    said = said.select(doc, "_s", F.explode("_t").alias("w")).join(asked, "w", "left_semi")
+    theirs = said.groupBy(doc, "_s", "w").agg(F.count("*").alias("b"))
+    met = theirs.join(ours, "w").groupBy(query, doc, "_words", "_q", "_s").agg(F.sum(F.col("a") * F.col("b")).alias("_d"), F.count("*").alias("_n"))
+    return met.select(query, doc, (F.col("_n") / F.col("_words")).alias("overlap"), (F.col("_d") / (F.col("_q") * F.col("_s"))).alias("cosine"))
 
 
 def at_keys(vectors: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
@@ -221,21 +239,34 @@ def candidates(found: DataFrame, query: str, stages: DataFrame, docs: DataFrame,
     return out.select(query, "stage", "attempt", F.when(filtered, F.col("kept")).otherwise(F.col("rows")).alias("rows"), (~filtered & (F.col("stage") != "relaxed")).alias("fallback"))
 
 
-def staged_search(scored: DataFrame, query: str, doc: str, row: str, score: str, stages: DataFrame, allowed: DataFrame, first_k: str, later_k: int) -> DataFrame:
-    """(query, stage, attempt, row, score, rank): the best rows of every stage that a query's search goes through.
+def at_stages(rows: DataFrame, query: str, doc: str, stages: DataFrame, allowed: DataFrame) -> DataFrame:
+    """rows once for every stage that their query's search goes through, with stage and attempt.
 
-    scored: (query, doc, row, score, first_k). A stage keeps to its allowed documents, to all where they have no scored row.
-    The first attempt takes first_k rows, later ones later_k at least.
+    A stage keeps to its allowed documents, to all where none of them has a row.
     """
-    tries = scored.join(stages, query)
-    kept = allowed.withColumn("_in", F.lit(True))
-    marked = tries.join(kept, [query, "stage", doc], "left")
-    some = F.max(F.coalesce("_in", F.lit(False))).over(Window.partitionBy(query, "stage"))
-    marked = marked.withColumn("_some", some).where("_in or not _some")
-    k = F.when(F.col("attempt") == 1, F.col(first_k)).otherwise(F.greatest(F.col(first_k), F.lit(later_k)))
-    most = marked.withColumn("_k", k)
-    place = F.row_number().over(Window.partitionBy(query, "stage").orderBy(F.col(score).desc(), F.col(row)))
-    return most.withColumn("rank", place).where(F.col("rank") <= F.col("_k")).drop("_in", "_some", "_k")
+    inside = rows.join(allowed, [query, doc])
+    reached = inside.select(query, "stage").distinct()
+    free = stages.join(reached, [query, "stage"], "left_anti")
+    whole = rows.join(free, query)
+    kept = inside.join(stages, [query, "stage"])
+    return kept.select(*rows.columns, "stage", "attempt").unionAll(whole.select(*rows.columns, "stage", "attempt"))
+
+
+def within_reach(rows: DataFrame, by: list[str], score: str, k: Column, gain: float, tie: str, most: int) -> DataFrame:
+    """Rows that can be among the first k of their group once each score has grown by 0 up to `gain`; k is at most `most`.
+
+    The k-th best score as it is bounds the k-th best later one from below, so a row further than `gain` under it is out.
+    """
+    best = top_k(rows.withColumn("_want", k), by, [F.col(score).desc(), F.col(tie)], most, tie)
+    floor = best.groupBy(*by).agg(F.min(F.when(F.col("rank") == F.col("_want"), F.col(score))).alias("_floor"))
+    return rows.join(floor, by).where(F.col("_floor").isNull() | (F.col(score) + gain >= F.col("_floor"))).drop("_floor")
+
+
+def staged_search(scored: DataFrame, query: str, row: str, score: str, first_k: int, later_k: int) -> DataFrame:
+    """scored with rank: the best rows of every stage; the first attempt takes first_k rows, later ones later_k at least."""
+    k = F.when(F.col("attempt") == 1, first_k).otherwise(max(first_k, later_k))
+    best = top_k(scored, [query, "stage"], [F.col(score).desc(), F.col(row)], max(first_k, later_k), row)
+    return best.where(F.col("rank") <= k)
 
 
 def first_verified(verdicts: DataFrame, query: str) -> DataFrame:

@@ -224,10 +224,10 @@ def search_parent_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.reassembled_parents(hits, ["query_id"], "parent_section_id", "chunk_id", "score", parents, "section_id")
 
 
-@_query("SELECT DISTINCT query_id, chunk_id, round(('0x' || substr(sha256(query_id || chr(1) || chunk_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE, 9) AS score FROM answer WHERE query_id IS NOT NULL AND chunk_id IS NOT NULL")
+@_query("SELECT DISTINCT query_id, chunk_id, round(('0x' || substr(sha256(query_id || chr(0) || chunk_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE, 9) AS score FROM answer WHERE query_id IS NOT NULL AND chunk_id IS NOT NULL")
 def search_random_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _t(spark, sf_dir, "answer").where("query_id is not null and chunk_id is not null").select("query_id", "chunk_id").distinct()
-    return df.withColumn("score", F.round(numbers.unit_hash(F.concat("query_id", F.lit("\x01"), "chunk_id")), 9))
+    return df.withColumn("score", F.round(retrieval.random_score(F.col("query_id"), F.col("chunk_id")), 9))
 
 
 _COMPACT = registry.COMPACT
@@ -388,13 +388,13 @@ _RANKED = """SELECT query_id, run_name, list(chunk_id ORDER BY score DESC, chunk
         round(coalesce(list_sum(list_transform(range(1, least(len(ranked), 10) + 1), lambda i: CASE WHEN list_contains(gold, ranked[i]) THEN 1.0::DOUBLE / log2(i + 1.0::DOUBLE) ELSE 0 END)), 0) / list_sum(list_transform(range(1, len(gold) + 1), lambda i: 1.0::DOUBLE / log2(i + 1.0::DOUBLE))), 6) AS ndcg_at_10 FROM j"""
 )
 def eval_ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each run against the three best chunks of the run `full`. The lists are one query's chunks."""
+    """Each run against the three best chunks of the run `full`."""
     rows = _t(spark, sf_dir, "answer").where("score is not null and not isnan(score) and chunk_id is not null and query_id is not null")
     rows = rows.groupBy("query_id", "run_name", "chunk_id").agg(F.max("score").alias("score"))
-    best = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "chunk_id")))
-    ranked = rows.groupBy("query_id", "run_name").agg(F.transform(best, lambda x: x["chunk_id"]).alias("ranked"))
-    gold = ranked.where("run_name = 'full'").select("query_id", F.slice("ranked", 1, 3).alias("gold"))
-    scored = evaluation.ranking_metrics(ranked.join(gold, "query_id"), "ranked", "gold", (1, 5))
+    place = F.row_number().over(Window.partitionBy("query_id", "run_name").orderBy(F.col("score").desc(), "chunk_id"))
+    ranked = staged(rows.select("query_id", "run_name", "chunk_id", place.alias("rank")), "ranked")
+    gold = ranked.where("run_name = 'full' and rank <= 3").select("query_id", "chunk_id")
+    scored = evaluation.ranked_metrics(ranked, ["query_id", "run_name"], "chunk_id", "rank", gold, ["query_id"], (1, 5))
     return scored.select("query_id", "run_name", *(F.round(c, 6).alias(c) for c in ("recall_at_1", "recall_at_5", "mrr", "ndcg_at_10")))
 
 

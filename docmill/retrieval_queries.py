@@ -116,13 +116,18 @@ def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     stages = grounding.stage_sequence(found, "item_id", asked)
     pairs = retrieval.shared_words(asked, "item_id", "tk", words, "section_uid", "tk")
     sure = found.where(F.col("confidence") >= matching.REDUCED).select("item_id", "doc_id", "confidence")
-    rows = pairs.join(asked.select("item_id", "topics"), "item_id").join(sections, "section_uid").join(sure, ["item_id", "doc_id"], "left")
+    pairs = pairs.join(sections.select("section_uid", "doc_id"), "section_uid").join(sure, ["item_id", "doc_id"], "left")
+    dense, known = numbers.clamp((F.col("cosine") + 1) / 2), F.coalesce("confidence", F.lit(0.0))
+    base = pairs.select("item_id", "doc_id", "section_uid", "overlap", dense.alias("dense"), known.alias("known"), (0.60 * dense + 0.25 * 0.55 * F.col("overlap") + 0.15 * known).alias("base"))
+    tries = staged(retrieval.at_stages(base, "item_id", "doc_id", stages, grounding.filters(found, "item_id", "doc_id")), "tries")
+    # Topics can add so much; texts are read only for rows that this can bring among the best.
+    k = F.when(F.col("attempt") == 1, plan.top_k).otherwise(presets.RETRY_TOP_K)
+    rows = retrieval.within_reach(tries, ["item_id", "stage"], "base", k, 0.25 * 0.45 + 1e-3, "section_uid", presets.RETRY_TOP_K)
+    rows = rows.join(asked.select("item_id", "topics"), "item_id").join(sections.select("section_uid", "text"), "section_uid")
     hits = F.size(F.filter("topics", lambda t: F.lower("text").contains(F.lower(t)))) / F.greatest(F.lit(1), F.size("topics"))
-    lexical = F.least(F.lit(1.0), 0.55 * F.col("overlap") + 0.45 * hits)
-    dense = numbers.clamp((F.col("cosine") + 1) / 2)
-    score = retrieval.combined_score(dense, lexical, F.coalesce("confidence", F.lit(0.0)))
-    scored = rows.select("item_id", "doc_id", "section_uid", "topics", "text", score.alias("score"), F.lit(plan.top_k).alias("first_k"))
-    best = retrieval.staged_search(scored, "item_id", "doc_id", "section_uid", "score", stages, grounding.filters(found, "item_id", "doc_id"), "first_k", presets.RETRY_TOP_K)
+    score = retrieval.combined_score(F.col("dense"), F.least(F.lit(1.0), 0.55 * F.col("overlap") + 0.45 * hits), F.col("known"))
+    scored = rows.select("item_id", "stage", "attempt", "doc_id", "section_uid", "topics", "text", score.alias("score"))
+    best = retrieval.staged_search(scored, "item_id", "section_uid", "score", plan.top_k, presets.RETRY_TOP_K)
     last = stages.groupBy("item_id").agg(F.max("attempt").alias("last"))
     return staged(best.join(last, "item_id"), "evidence")
 
@@ -157,6 +162,18 @@ def search_supporting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grounding.supporting(rows, ["item_id"], [F.col("score").desc(), F.col("section_uid")], "text", "topics").select("item_id", "section_uid", "score")
 
 
+@query(
+    f"""WITH p AS (SELECT item_id, {sql_tokens('p.text')} AS tk, {_sql_topics('p.text')} AS topics, s.text AS t, {sql_tokens('s.text')} AS st FROM prompt_injection_ko p JOIN rfp_sections s ON s.section_uid = p.item_id WHERE p.text IS NOT NULL AND s.text IS NOT NULL)
+    SELECT item_id, round(CASE WHEN len(tk) = 0 AND len(topics) = 0 THEN 0 ELSE least(1, 0.55 * len(list_intersect(tk, st)) / greatest(1, len(list_distinct(tk)))::DOUBLE + 0.45 * len(list_filter(topics, lambda x: contains(lower(t), lower(x)))) / greatest(1, len(topics))::DOUBLE) END, 6)::DOUBLE AS lexical FROM p"""
+)
+def search_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each screened query against one section: the share of its words and topics there."""
+    asked = table(spark, sf_dir, "prompt_injection_ko").where("text is not null").select("item_id", text.tokens("text").alias("tk"), grounding.query_topics("text").alias("topics"))
+    sections = table(spark, sf_dir, "rfp_sections").where("text is not null").select(F.col("section_uid").alias("item_id"), F.col("text").alias("t"), text.tokens("text").alias("st"))
+    both = asked.join(sections, "item_id")
+    return both.select("item_id", F.round(retrieval.lexical_similarity(F.col("tk"), F.col("topics"), F.col("t"), F.col("st")), 6).alias("lexical"))
+
+
 @query("SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS length FROM embeddings WHERE vec_id % 100 = 7")
 def search_by_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of given keys only."""

@@ -88,8 +88,8 @@ def test_hard_negatives(spark):
 def test_average_ranks_and_spearman(spark):
     rows = [("g", float(x), float(y)) for x, y in [(1, 2), (2, 2), (2, 3), (4, 1), (9, 9)]] + [("one", 1.0, 2.0), ("h", None, 1.0)]
     df = spark.createDataFrame(rows, "g string, x double, y double")
-    got = sorted((r.x, r.k) for r in statistics.average_ranks(df.where("g = 'g'"), [], "x", "k").collect())
-    assert got == [(1.0, 1.0), (2.0, 2.5), (2.0, 2.5), (4.0, 4.0), (9.0, 5.0)]
+    got = sorted((r.v, r.k, r.rank) for r in statistics.average_ranks(df.where("g = 'g'"), [], "x", "rank").collect())
+    assert got == [(1.0, 1, 1.0), (2.0, 2, 2.5), (4.0, 1, 4.0), (9.0, 1, 5.0)]
     rho = {r.g: r.rho for r in statistics.spearman(df, ["g"], "x", "y").collect()}
     assert abs(rho["g"] - float(np.corrcoef([1, 2.5, 2.5, 4, 5], [2.5, 2.5, 4, 1, 5])[0, 1])) < 1e-5 and rho["one"] is None
 
