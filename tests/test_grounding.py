@@ -26,7 +26,7 @@ def one(spark, *columns, **values):
         ("壹億伍千萬元", [("壹億伍千萬元", 150_000_000, False)]),
         ("일억 오천만원", [("일억 오천만원", 150_000_000, False)]),
         ("1,234,567 및 12,345원 그리고 12,345명", [("1,234,567", 1_234_567, False), ("12,345원", 12_345, False)]),
-        ("다만 3명이 만나", []),
+        ("한 명도 오지 않는다", []),
         ("", []),
     ],
 )
