@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +28,11 @@ FOUND = f"({ABOUT})?({AMOUNT})({NEARLY})?"
 DATE = rf"([0-9]{{4}})년{S}([0-9]{{1,2}})월{S}([0-9]{{1,2}})일|'([0-9]{{2}})\.([0-9]{{1,2}})\.([0-9]{{1,2}})|(?:^|[^0-9A-Za-z_가-힣])([0-9]{{4}})[-./]([0-9]{{1,2}})[-./]([0-9]{{1,2}})|(?:^|[^0-9])([0-9]{{1,2}})월{S}([0-9]{{1,2}})일"
 
 
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, with x evaluated once however often f names it."""
+    return F.transform(F.array(x), f)[0]
+
+
 def _bare(raw: Column) -> Column:
     """An amount's digits and units alone, in plain form."""
     out = raw
@@ -37,12 +44,15 @@ def _bare(raw: Column) -> Column:
 
 def amount_value(raw: Column) -> Column:
     """bigint: what an amount comes to; null for none and for 0."""
-    number, every = _bare(raw), "".join(unit for unit, _ in MYRIADS)
-    total = _small(F.regexp_extract(number, f"([^{every}]*)$", 1))
-    for unit, size in MYRIADS:
-        total = total + _small(F.regexp_extract(number, f"([^{every}]*){unit}", 1)) * size
-    value = F.round(total).cast("bigint")
-    return F.when((number != "") & (value > 0), value)
+    every = "".join(unit for unit, _ in MYRIADS)
+
+    def value(number: Column) -> Column:
+        total = _let(F.regexp_extract(number, f"([^{every}]*)$", 1), _small)
+        for unit, size in MYRIADS:
+            total = total + _let(F.regexp_extract(number, f"([^{every}]*){unit}", 1), _small) * size
+        return F.nullif(F.round(total).cast("bigint"), F.lit(0))
+
+    return _let(_bare(raw), value)
 
 
 def _marked(text: Column) -> Column:
@@ -84,11 +94,11 @@ def normalized_amounts(text: str | Column) -> Column:
     found = F.arrays_zip(*(F.regexp_extract_all(marked, F.lit(FOUND), F.lit(k)).alias(n) for k, n in ((1, "about"), (2, "raw"), (3, "nearly"))))
 
     def written(p: Column) -> Column:
-        raw, value = F.rtrim(p["raw"]), amount_value(p["raw"])
+        raw = F.rtrim(p["raw"])
         gap = F.substring(p["raw"], F.length(raw) + 1, F.length(p["raw"]))
         near = (p["about"] != "") | (p["nearly"] != "")
-        new = F.when(value.isNull(), raw).when(near, F.concat(raw, F.lit(" [≈"), value.cast("string"), F.lit("]"))).otherwise(value.cast("string"))
-        return F.concat(p["about"], new, gap, p["nearly"])
+        new = lambda v: F.when(v.isNull(), raw).when(near, F.concat(raw, F.lit(" [≈"), v.cast("string"), F.lit("]"))).otherwise(v.cast("string"))
+        return F.concat(p["about"], _let(amount_value(p["raw"]), new), gap, p["nearly"])
 
     rewritten = F.concat(F.transform(found, written), F.array(F.lit("")))
     out = F.array_join(F.flatten(F.zip_with(parts, rewritten, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
@@ -103,9 +113,9 @@ def normalized_dates(text: str | Column, anchor: int | None = None) -> Column:
     groups = F.arrays_zip(whole.alias("g0"), *(F.regexp_extract_all(text, F.lit(DATE), F.lit(k)).alias(f"g{k}") for k in range(1, 12)))
 
     def written(g: Column) -> Column:
-        iso = _iso([g[f"g{k}"] for k in range(1, 12)], anchor)
         lead = F.regexp_extract(g["g0"], "^([^0-9'])", 1)
-        return F.when(F.coalesce(iso, F.lit("")) != "", F.concat(lead, iso)).otherwise(g["g0"])
+        new = lambda iso: F.when(F.coalesce(iso, F.lit("")) != "", F.concat(lead, iso)).otherwise(g["g0"])
+        return _let(_iso([g[f"g{k}"] for k in range(1, 12)], anchor), new)
 
     rewritten = F.concat(F.transform(groups, written), F.array(F.lit("")))
     return F.array_join(F.flatten(F.zip_with(parts, rewritten, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
@@ -113,7 +123,7 @@ def normalized_dates(text: str | Column, anchor: int | None = None) -> Column:
 
 def normalized_text(text: str | Column, anchor: int | None = None) -> Column:
     """Amounts and then dates in one notation; null stays null."""
-    return normalized_dates(normalized_amounts(text), anchor)
+    return _let(normalized_amounts(text), lambda t: normalized_dates(t, anchor))
 
 
 def forms(text: str | Column) -> Column:
