@@ -28,7 +28,7 @@ FOUND = f"({ABOUT})?({AMOUNT})({NEARLY})?"
 DATE = rf"([0-9]{{4}})년{S}([0-9]{{1,2}})월{S}([0-9]{{1,2}})일|'([0-9]{{2}})\.([0-9]{{1,2}})\.([0-9]{{1,2}})|(?:^|[^0-9A-Za-z_가-힣])([0-9]{{4}})[-./]([0-9]{{1,2}})[-./]([0-9]{{1,2}})|(?:^|[^0-9])([0-9]{{1,2}})월{S}([0-9]{{1,2}})일"
 
 
-def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
     """f of x, with x evaluated once however often f names it."""
     return F.transform(F.array(x), f)[0]
 
@@ -47,12 +47,12 @@ def amount_value(raw: Column) -> Column:
     every = "".join(unit for unit, _ in MYRIADS)
 
     def value(number: Column) -> Column:
-        total = _let(F.regexp_extract(number, f"([^{every}]*)$", 1), _small)
+        total = let(F.regexp_extract(number, f"([^{every}]*)$", 1), _small)
         for unit, size in MYRIADS:
-            total = total + _let(F.regexp_extract(number, f"([^{every}]*){unit}", 1), _small) * size
+            total = total + let(F.regexp_extract(number, f"([^{every}]*){unit}", 1), _small) * size
         return F.nullif(F.round(total).cast("bigint"), F.lit(0))
 
-    return _let(_bare(raw), value)
+    return let(_bare(raw), value)
 
 
 def _marked(text: Column) -> Column:
@@ -98,7 +98,7 @@ def normalized_amounts(text: str | Column) -> Column:
         gap = F.substring(p["raw"], F.length(raw) + 1, F.length(p["raw"]))
         near = (p["about"] != "") | (p["nearly"] != "")
         new = lambda v: F.when(v.isNull(), raw).when(near, F.concat(raw, F.lit(" [≈"), v.cast("string"), F.lit("]"))).otherwise(v.cast("string"))
-        return F.concat(p["about"], _let(amount_value(p["raw"]), new), gap, p["nearly"])
+        return F.concat(p["about"], let(amount_value(p["raw"]), new), gap, p["nearly"])
 
     rewritten = F.concat(F.transform(found, written), F.array(F.lit("")))
     out = F.array_join(F.flatten(F.zip_with(parts, rewritten, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
@@ -115,7 +115,7 @@ def normalized_dates(text: str | Column, anchor: int | None = None) -> Column:
     def written(g: Column) -> Column:
         lead = F.regexp_extract(g["g0"], "^([^0-9'])", 1)
         new = lambda iso: F.when(F.coalesce(iso, F.lit("")) != "", F.concat(lead, iso)).otherwise(g["g0"])
-        return _let(_iso([g[f"g{k}"] for k in range(1, 12)], anchor), new)
+        return let(_iso([g[f"g{k}"] for k in range(1, 12)], anchor), new)
 
     rewritten = F.concat(F.transform(groups, written), F.array(F.lit("")))
     return F.array_join(F.flatten(F.zip_with(parts, rewritten, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
@@ -123,7 +123,7 @@ def normalized_dates(text: str | Column, anchor: int | None = None) -> Column:
 
 def normalized_text(text: str | Column, anchor: int | None = None) -> Column:
     """Amounts and then dates in one notation; null stays null."""
-    return _let(normalized_amounts(text), lambda t: normalized_dates(t, anchor))
+    return let(normalized_amounts(text), lambda t: normalized_dates(t, anchor))
 
 
 def forms(text: str | Column) -> Column:

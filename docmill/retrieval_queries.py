@@ -111,7 +111,7 @@ def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = presets.make_plan("full", "single_doc")
     asked = staged(_asked(spark, sf_dir).withColumn("tk", text.tokens("text")).withColumn("topics", grounding.query_topics("text")), "asked")
     sections = table(spark, sf_dir, "rfp_sections").select("section_uid", "doc_id", "text")
-    words = spread(sections.select("section_uid", "text")).select("section_uid", text.tokens("text").alias("tk"))
+    words = staged(spread(sections.select("section_uid", "text")).select("section_uid", text.tokens("text").alias("tk")), "words")
     found = staged(_documents(spark, sf_dir, asked), "found")
     stages = grounding.stage_sequence(found, "item_id", asked)
     pairs = retrieval.shared_words(asked, "item_id", "tk", words, "section_uid", "tk")
@@ -124,10 +124,13 @@ def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.when(F.col("attempt") == 1, plan.top_k).otherwise(presets.RETRY_TOP_K)
     rows = retrieval.within_reach(tries, ["item_id", "stage"], "base", k, 0.25 * 0.45 + 1e-3, "section_uid", presets.RETRY_TOP_K)
     rows = rows.join(asked.select("item_id", "topics"), "item_id").join(sections.select("section_uid", "text"), "section_uid")
-    hits = F.size(F.filter("topics", lambda t: F.lower("text").contains(F.lower(t)))) / F.greatest(F.lit(1), F.size("topics"))
-    score = retrieval.combined_score(F.col("dense"), F.least(F.lit(1.0), 0.55 * F.col("overlap") + 0.45 * hits), F.col("known"))
-    scored = rows.select("item_id", "stage", "attempt", "doc_id", "section_uid", "topics", "text", score.alias("score"))
+    said = amounts.let(F.lower("text"), lambda low: F.size(F.filter("topics", lambda t: low.contains(t))))  # topics are in lower case
+    lexical = F.least(F.lit(1.0), 0.55 * F.col("overlap") + 0.45 * said / F.greatest(F.lit(1), F.size("topics")))
+    score = retrieval.combined_score(F.col("dense"), lexical, F.col("known"))
+    scored = rows.select("item_id", "stage", "attempt", "doc_id", "section_uid", score.alias("score"))
+    # Ranked without texts, which only the few best rows get again.
     best = retrieval.staged_search(scored, "item_id", "section_uid", "score", plan.top_k, presets.RETRY_TOP_K)
+    best = best.join(asked.select("item_id", "topics"), "item_id").join(sections.select("section_uid", "text"), "section_uid")
     last = stages.groupBy("item_id").agg(F.max("attempt").alias("last"))
     return staged(best.join(last, "item_id"), "evidence")
 
@@ -235,7 +238,8 @@ _AMOUNTS = f"SELECT section_uid, {_sql_found('text', 1)} AS ab, {_sql_found('tex
 )
 def text_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every amount of money in the sections, read."""
-    rows = table(spark, sf_dir, "rfp_sections").where("text is not null").select("section_uid", F.posexplode(amounts.amounts("text")).alias("place", "a"))
+    texts = spread(table(spark, sf_dir, "rfp_sections").select("section_uid", "text")).where("text is not null")
+    rows = texts.select("section_uid", F.posexplode(amounts.amounts("text")).alias("place", "a"))
     return rows.select("section_uid", "place", "a.raw", "a.value", "a.approximate")
 
 
@@ -252,7 +256,8 @@ _MONTH, _DAY = "coalesce(try_cast(g2 AS INT), try_cast(g5 AS INT), try_cast(g8 A
 )
 def text_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every date in the sections, with 2026 for those without a year."""
-    rows = table(spark, sf_dir, "rfp_sections").where("text is not null").select("section_uid", F.posexplode(amounts.dates("text", 2026)).alias("place", "d"))
+    texts = spread(table(spark, sf_dir, "rfp_sections").select("section_uid", "text")).where("text is not null")
+    rows = texts.select("section_uid", F.posexplode(amounts.dates("text", 2026)).alias("place", "d"))
     return rows.select("section_uid", "place", "d.iso", "d.year_inferred")
 
 
