@@ -234,6 +234,22 @@ def test_cascade(spark):
     assert {(r.q, r.value): r.confidence for r in plain.collect() if r.q in (1, 3, 7)} == {(7, "발매기 운영"): 0.72}
 
 
+def test_cascade_sends_out_values_never_queries(spark, monkeypatch):
+    docs = [(f"기관{i}청", f"철도 신호 구축 {i}", [f"망 신호{i}"]) for i in range(300)]
+    d = spark.createDataFrame(docs, "agency string, project string, project_aliases array<string>")
+    asked = spark.range(8).select("id", F.concat(F.lit("철도의 신호"), F.col("id"), F.lit("청 망")).alias("t"))
+    run = lambda: matching.cascade_matches(asked, "id", "t", d, ("agency", "project"), {"project": "project_aliases"})
+    sent = run()
+    plan = sent._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "BuildLeft" not in plan
+    monkeypatch.setattr(matching, "BROADCAST_ROWS", 0)
+    shuffled = run()
+    plan = shuffled._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
+    rows = sorted(map(tuple, sent.collect()))
+    assert rows == sorted(map(tuple, shuffled.collect())) and {r[4] for r in rows} == {"abbreviation", "explicit_alias", "partial_tokens"}
+
+
 def likest(t, q):
     """Every phrase of about as many tokens against the whole value."""
     sizes = range(max(1, len(t) - 1), min(len(q), len(t) + 1) + 1) if t and q else ()
