@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from docmill import queries
 from docmill.functions import amounts, text
 from docmill.operators import evaluation, grounding, ingest, layout, retrieval, statistics
 from docmill.plans import staging
@@ -106,6 +107,11 @@ def test_stages_of_a_search(spark):
     assert sorted((r.q, r.stage, r.rows, r.fallback) for r in kept) == [(1, "reduced", 3, False), (1, "relaxed", 3, False), (1, "strict", 2, False), (2, "relaxed", 3, False), (2, "strict", 3, True), (3, "relaxed", 3, False)]
 
 
+def test_analysis_looks_for_agencies_alone(spark, data):
+    plan = queries.queries()["match_analysis"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan and plan.count("Generate explode") <= 2
+
+
 def test_rows_within_reach(spark):
     rng = np.random.default_rng(2)
     rows = [(g, i, float(s), float(e)) for g in (1, 2) for i, (s, e) in enumerate(zip(rng.random(200), rng.random(200) * 0.2, strict=True))] + [(3, 0, 0.1, 0.0)]
