@@ -1,6 +1,7 @@
 """Searches by words, topics and matches: small tables against the SQL, and how much they write."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +70,63 @@ def test_stems_are_those_of_tokens(spark):
     words = [*WORDS, *(w + p for w in ("철도", "가", "운영") for p in text.PARTICLES), *text.STOPWORDS, "RFP", "으로으로", "나에서도"]
     got = spark.createDataFrame([(w,) for w in words], "w string").select("w", text.tokens("w").alias("t")).collect()
     assert {r.w: "".join(r.t) for r in got} == {w: wordsearch.stem_of(w) for w in words}
+
+
+@pytest.fixture(scope="module")
+def copies(spark, tmp_path_factory):
+    """One text many times, as a boilerplate section is, a few others; rows in no order."""
+    texts = ["철도 신호 예산 서버"] * 3000 + ["철도 신호", "예산 서버 점검한다 지침", "철도 신호 예산 서버 좌표로"]
+    tables = {
+        "prompt_injection_ko": ([(100, "철도 신호 예산은"), (200, "서버 점검"), (300, "한강청 철도")], "item_id bigint, text string"),
+        "rfp_sections": ([(i * 7919 % 3041, "d1" if i % 2 else None, t) for i, t in enumerate(texts)], "section_uid bigint, doc_id string, text string"),
+        "rfp_documents": ([("d1", "한강청", "발매기 운영", "도면", None)], "doc_id string, agency string, project string, title string, project_aliases array<string>"),
+    }
+    at = tmp_path_factory.mktemp("copies")
+    for name, (rows, kinds) in tables.items():
+        spark.createDataFrame(rows, kinds).repartition(3).write.parquet(f"{at}/{name}.parquet")
+    return str(at)
+
+
+@pytest.mark.parametrize("name", ["verify_evidence", "search_supporting"])
+def test_equal_scores_are_not_all_written(spark, copies, monkeypatch, name):
+    sizes, stage = {}, wordsearch.staged
+
+    def counted(df, n="stage"):
+        out = stage(df, n)
+        sizes[n] = out.count()
+        return out
+
+    monkeypatch.setattr(wordsearch, "staged", counted)
+    assert not difference(queries.queries()[name](spark, copies), connect(copies), queries.oracle_sql()[name])
+    assert sizes["candidates"] < 3000, sizes  # three queries, in one case at three stages, of 3003 sections
+
+
+def test_texts_are_read_once_for_many_queries(spark, folder, monkeypatch):
+    passes, features = [], wordsearch._features
+    monkeypatch.setattr(wordsearch, "_features", lambda shared: passes.append(1) or features(shared))
+    asked = spark.range(9000).selectExpr("id as item_id", "array(concat('w', id), '철도') as tk", "array('철도') as topics")
+    found = spark.createDataFrame([], "item_id bigint, doc_id string, confidence double")
+    few = spark.read.parquet(f"{folder}/rfp_sections.parquet").where("section_uid < 5")
+    assert wordsearch.word_search(asked, "item_id", "tk", "topics", few, "doc_id", "section_uid", "text", found, 8).count()
+    assert len(passes) == 1
+
+
+def test_features_keep_few_spellings(monkeypatch):
+    """The same features where what is known of spellings is let go after every few tokens."""
+
+    class Shared:
+        value = ({"철도": 0, "신호": 1, "abc": 2}, {"철도": 0, "ab": 1, "k": 2})
+
+    texts = ["철도 철도의 신호", "", "ABC abc 그리고 있다", "KBC 철도", "신호를 x1 x2 x3 철도신호", "..."]
+    batch = pa.RecordBatch.from_pydict({"row": list(range(6)), "doc": ["d"] * 6, "text": texts})
+    sets = lambda b: [[x.as_py() if k < 3 else sorted(np.frombuffer(x.as_py(), np.int32).tolist()) for x in b.column(k)] for k in (0, 1, 2, 3, 4, 5)]
+    joined = lambda parts: [sum(columns, []) for columns in zip(*map(sets, parts), strict=True)]
+    whole = joined(wordsearch._features(Shared)(iter([batch])))
+    assert whole[2:] == [[5, 0, 5, 2, 5, 0], [[0, 1], [], [2], [0], [1], []], [[1, 2], [], [2], [1], [1], []], [[0], [], [1], [0, 2], [0], []]]
+    most = []
+    forget = wordsearch._Spellings.forget
+    monkeypatch.setattr(wordsearch._Spellings, "forget", lambda self: most.append(len(self)) or forget(self))
+    monkeypatch.setattr(wordsearch, "TOKENS", 2)
+    monkeypatch.setattr(wordsearch, "KEPT", 2)
+    assert joined(wordsearch._features(Shared)(iter([batch]))) == whole
+    assert len(most) > 2 and max(most) < 9  # of 13
