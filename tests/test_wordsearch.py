@@ -130,3 +130,13 @@ def test_features_keep_few_spellings(monkeypatch):
     monkeypatch.setattr(wordsearch, "KEPT", 2)
     assert joined(wordsearch._features(Shared)(iter([batch]))) == whole
     assert len(most) > 2 and max(most) < 9  # of 13
+
+
+def test_tasks_give_memory_back(monkeypatch):
+    class Shared:
+        value = ({"철도": 0}, {"철도": 0})
+
+    given = []
+    monkeypatch.setattr(wordsearch, "_given_back", lambda: given.append(1))
+    batch = pa.RecordBatch.from_pydict({"row": [1], "doc": ["d"], "text": ["철도"]})
+    assert [b.num_rows for b in wordsearch._features(Shared)(iter([batch]))] == [1] and given == [1]
