@@ -140,3 +140,20 @@ def test_tasks_give_memory_back(monkeypatch):
     monkeypatch.setattr(wordsearch, "_given_back", lambda: given.append(1))
     batch = pa.RecordBatch.from_pydict({"row": [1], "doc": ["d"], "text": ["철도"]})
     assert [b.num_rows for b in wordsearch._features(Shared)(iter([batch]))] == [1] and given == [1]
+
+
+@pytest.fixture(scope="module")
+def unnumbered(spark, folder, tmp_path_factory):
+    """The tables of `folder` with more queries, of numbers that are no hundreds; some differ only in what no section holds, or in what they match."""
+    asked = [(1, "철도 신호 예산은 77881"), (2, "77882 철도 신호의 예산"), (3, "철도 신호 예산 26"), (-7, "77883 예산 신호 철도"), (100, "철도 신호 예산은 26일"), (101, "한강청 점검 보안"), (102, "가람청 점검 보안"), (103, None), (104, "철도 철도 신호"), (105, "둘째 발매기 도면 77884"), (106, "둘째 발매기 도면 77885"), (107, ""), (108, "철도 신호 예산 철도의")]
+    at = tmp_path_factory.mktemp("unnumbered")
+    spark.createDataFrame(asked, "item_id bigint, text string").repartition(3).write.parquet(f"{at}/prompt_injection_ko.parquet")
+    for name in ("rfp_sections", "rfp_documents"):
+        spark.read.parquet(f"{folder}/{name}.parquet").write.parquet(f"{at}/{name}.parquet")
+    return str(at)
+
+
+def test_every_query_gets_its_verdicts(spark, unnumbered):
+    found = queries.queries()["verify_evidence"](spark, unnumbered)
+    assert not difference(found, connect(unnumbered), queries.oracle_sql()["verify_evidence"])
+    assert {r.item_id for r in found.select("item_id").distinct().collect()} == {1, 2, 3, -7, 100, 101, 102, 104, 105, 106, 108}
