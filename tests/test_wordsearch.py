@@ -157,3 +157,19 @@ def test_every_query_gets_its_verdicts(spark, unnumbered):
     found = queries.queries()["verify_evidence"](spark, unnumbered)
     assert not difference(found, connect(unnumbered), queries.oracle_sql()["verify_evidence"])
     assert {r.item_id for r in found.select("item_id").distinct().collect()} == {1, 2, 3, -7, 100, 101, 102, 104, 105, 106, 108}
+
+
+def test_spoken_holds_every_part(monkeypatch):
+    """Stems of all tokens, and in some stretch each part of up to the longest topic's letters, also where stretches are cut or let go."""
+    texts = ["철도의 신호는", "abcdefghijklmnopqrstuvwxyz0123456789", "\u212aBC 가나다라마바사아자차카타파하", "...", ""]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    for kept in (wordsearch.KEPT, 0):
+        monkeypatch.setattr(wordsearch, "KEPT", kept)
+        for longest in (1, 2, 5, 40):
+            rows = [r for b in wordsearch._spoken(longest)(iter([batch])) for r in b.to_pylist()]
+            assert {r["x"] for r in rows if r["stem"]} == {"철도", "신호", texts[1], "bc", wordsearch.stem_of("가나다라마바사아자차카타파하")}
+            stretches = {r["x"] for r in rows if not r["stem"]}
+            assert max(map(len, stretches)) <= 2 * longest
+            for whole in ("철도의", "신호는", texts[1], "kbc", "가나다라마바사아자차카타파하"):
+                parts = {whole[i : i + n] for n in range(1, longest + 1) for i in range(len(whole) - n + 1)}
+                assert all(any(p in x for x in stretches) for p in parts)
